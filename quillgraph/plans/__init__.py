@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-CATALOGUE = ("ingest",)
+CATALOGUE = ("ingest", "graphs")
 
 
 def load_all() -> None:
