@@ -90,9 +90,9 @@ def evidence_terms(refs: DataFrame, highlights: DataFrame) -> DataFrame:
     """
     rows = refs.select("request_id", "doc_id", "bid").distinct().join(
         highlights.select("doc_id", "bid", "ordinal", *TERM_KINDS), ["doc_id", "bid"])
-    all_terms = F.flatten(F.array(*[
-        F.transform(kind, lambda t, i, k=kind: F.struct(F.lit(k).alias("kind"), t.alias("term"), i.alias("i")))
-        for kind in TERM_KINDS]))
+    tagged = lambda kind: F.transform(
+        kind, lambda t, i: F.struct(F.lit(kind).alias("kind"), t.alias("term"), i.alias("i")))
+    all_terms = F.flatten(F.array(*[tagged(kind) for kind in TERM_KINDS]))
     return (
         rows.withColumn("_t", all_terms).drop(*TERM_KINDS)
         .transform(explode_indexed, "_t", "_p", "_x")

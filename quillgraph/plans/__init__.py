@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-CATALOGUE = ("ingest", "graphs")
+CATALOGUE = ("ingest", "graphs", "answers", "updates")
 
 
 def load_all() -> None:

@@ -255,7 +255,7 @@ def supply_components(t: Tables) -> DataFrame:
 
 @query("louvain")
 def louvain(t: Tables) -> DataFrame:
-    return analytics.louvain(t.edges)
+    return analytics.louvain(t.edges, min_gain=1e-3)
 
 
 @query("modularity", sql.using("trade", "tcomm") + """
