@@ -97,70 +97,95 @@ def check_revision(mutations: DataFrame, versions: DataFrame) -> DataFrame:
         "stale", F.col("revision").isNotNull() & (F.col("revision") != F.coalesce("_latest", F.lit(0)))).drop("_latest")
 
 
-def apply_round(labels: DataFrame, rel: DataFrame, valid: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Apply at most one validated edit per document."""
-    of = lambda *ops: valid.filter(F.col("operation").isin(*ops))
-    node_key = lambda df: df.select("doc_id", F.col("node_id").alias("name"), F.col("new_name").alias("_to"),
-                                    F.col("label").alias("_label"), F.col("operation").alias("_op"))
-    # Nodes: rename, relabel, drop, add.
-    changed = labels.join(node_key(of("update_node", "delete_node")), ["doc_id", "name"], "left").filter(
-        F.coalesce(F.col("_op") != "delete_node", F.lit(True)))
-    kept = changed.select(
-        "doc_id", F.coalesce("_to", "name").alias("name"), F.coalesce("_label", "label").alias("label"), "first_pos")
-    place = F.lit(MANUAL_ORDINAL * ORDER_STRIDE) + F.col("seq")
-    fresh = of("add_node").select("doc_id", F.col("new_name").alias("name"), "label", place.alias("first_pos"))
-    # Relations: renamed ends, cascaded deletes, edited and new edges.
+NODE_EDITS = {"update_node", "delete_node"}
+EDGE_EDITS = {"update_edge", "delete_edge"}
+
+
+def _edit_labels(labels: DataFrame, valid: DataFrame, ops: set[str]) -> DataFrame:
+    """Labels after one round of node edits."""
+    if ops & NODE_EDITS:
+        hits = valid.filter(F.col("operation").isin(*NODE_EDITS)).select(
+            "doc_id", F.col("node_id").alias("name"), F.col("new_name").alias("_to"),
+            F.col("label").alias("_label"), F.col("operation").alias("_op"))
+        labels = labels.join(hits, ["doc_id", "name"], "left").filter(
+            F.coalesce(F.col("_op") != "delete_node", F.lit(True))
+        ).select("doc_id", F.coalesce("_to", "name").alias("name"), F.coalesce("_label", "label").alias("label"), "first_pos")
+    if "add_node" in ops:
+        place = F.lit(MANUAL_ORDINAL * ORDER_STRIDE) + F.col("seq")
+        labels = labels.unionByName(valid.filter(F.col("operation") == "add_node").select(
+            "doc_id", F.col("new_name").alias("name"), "label", place.alias("first_pos")))
+    return labels
+
+
+def _edit_relations(rel: DataFrame, valid: DataFrame, ops: set[str]) -> DataFrame:
+    """Relations after one round: renamed ends, cascaded deletes, edited and new edges."""
+    columns = ["doc_id", "bid", "ordinal", "rel_idx", "source", "target", "relation", "context", "weight", "origin", "edit_id"]
     base = with_edge_ids(rel)
-    ends = node_key(of("update_node", "delete_node"))
-    for end in ("source", "target"):
-        hit = ends.select("doc_id", F.col("name").alias(end), F.col("_to").alias(f"_{end}"),
-                          F.col("_op").alias(f"_{end}_op"))
-        base = base.join(hit, ["doc_id", end], "left")
-    base = base.filter(
-        F.coalesce(F.col("_source_op") != "delete_node", F.lit(True))
-        & F.coalesce(F.col("_target_op") != "delete_node", F.lit(True)))
-    edits = of("update_edge", "delete_edge").select(
-        "doc_id", F.col("edge_id").alias("edit_id"), F.col("operation").alias("_op"),
-        F.struct("source", "target", "relation", "context", "weight").alias("_new"))
-    base = base.join(edits, ["doc_id", "edit_id"], "left").filter(
-        F.coalesce(F.col("_op") != "delete_edge", F.lit(True)))
-    value = lambda c: F.coalesce(F.col(f"_new.{c}"), F.col(c)).alias(c)
-    moved = base.withColumn("source", F.coalesce("_source", "source")).withColumn(
-        "target", F.coalesce("_target", "target"))
-    relations = moved.select(
-        "doc_id", "bid", "ordinal", "rel_idx", *[value(c) for c in ("source", "target", "relation", "context", "weight")],
-        "origin", "edit_id")
-    manual = relations.filter(F.col("bid") == MANUAL_BLOCK).groupBy("doc_id").agg(
-        F.count("*").alias("_count"), F.max("rel_idx").alias("_last"))
-    count = F.coalesce("_count", F.lit(0).cast("long"))
-    new_edges = of("add_edge").join(manual, "doc_id", "left").select(
-        "doc_id", F.lit(MANUAL_BLOCK).alias("bid"), F.lit(MANUAL_ORDINAL).alias("ordinal"),
-        (F.coalesce("_last", F.lit(-1)) + 1).cast("int").alias("rel_idx"),
-        "source", "target", "relation", "context", "weight", F.lit(MANUAL_ORIGIN).alias("origin"),
-        digest_id("edge", source=json_string(F.col("source")), target=json_string(F.col("target")),
-                  relation=json_string(F.col("relation")), context=json_string(F.col("context")),
-                  count=count.cast("string")).alias("edit_id"))
-    return kept.unionByName(fresh), relations.unionByName(new_edges)
+    if ops & NODE_EDITS:
+        hits = valid.filter(F.col("operation").isin(*NODE_EDITS))
+        for end in ("source", "target"):
+            base = base.join(hits.select(
+                "doc_id", F.col("node_id").alias(end), F.col("new_name").alias("_to"), F.col("operation").alias("_op")
+            ), ["doc_id", end], "left").filter(
+                F.coalesce(F.col("_op") != "delete_node", F.lit(True))
+            ).withColumn(end, F.coalesce("_to", end)).drop("_to", "_op")
+    if ops & EDGE_EDITS:
+        fields = ("source", "target", "relation", "context", "weight")
+        edits = valid.filter(F.col("operation").isin(*EDGE_EDITS)).select(
+            "doc_id", F.col("edge_id").alias("edit_id"), F.col("operation").alias("_op"), F.struct(*fields).alias("_new"))
+        base = base.join(edits, ["doc_id", "edit_id"], "left").filter(
+            F.coalesce(F.col("_op") != "delete_edge", F.lit(True))
+        ).withColumns({c: F.coalesce(F.col(f"_new.{c}"), F.col(c)) for c in fields})
+    base = base.select(*columns)
+    if "add_edge" in ops:
+        manual = base.filter(F.col("bid") == MANUAL_BLOCK).groupBy("doc_id").agg(
+            F.count("*").alias("_count"), F.max("rel_idx").alias("_last"))
+        count = F.coalesce("_count", F.lit(0).cast("long"))
+        base = base.unionByName(valid.filter(F.col("operation") == "add_edge").join(manual, "doc_id", "left").select(
+            "doc_id", F.lit(MANUAL_BLOCK).alias("bid"), F.lit(MANUAL_ORDINAL).alias("ordinal"),
+            (F.coalesce("_last", F.lit(-1)) + 1).cast("int").alias("rel_idx"),
+            "source", "target", "relation", "context", "weight", F.lit(MANUAL_ORIGIN).alias("origin"),
+            digest_id("edge", source=json_string(F.col("source")), target=json_string(F.col("target")),
+                      relation=json_string(F.col("relation")), context=json_string(F.col("context")),
+                      count=count.cast("string")).alias("edit_id")))
+    return base
+
+
+def apply_round(labels: DataFrame, rel: DataFrame, valid: DataFrame,
+                ops: set[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Apply at most one validated edit per document; ``ops`` names the kinds present."""
+    present = set(OPERATION_LABELS) if ops is None else ops
+    return _edit_labels(labels, valid, present), _edit_relations(rel, valid, present)
 
 
 def apply_mutations(labels: DataFrame, rel: DataFrame,
                     mutations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Apply every edit in ``seq`` order; returns labels, relations and rejected edits.
 
-    A rejected edit changes nothing and the following ones still run.
+    A rejected edit changes nothing and the following ones still run.  A round
+    rewrites only the tables its kinds of edit touch.
     """
     order = Window.partitionBy("doc_id").orderBy("seq")
     queue = materialise(mutations.withColumn("_round", F.row_number().over(order)))
+    labels, rel = materialise(labels), materialise(rel)
+    # At most six kinds per round come to the driver.
+    known = queue.filter(F.col("operation").isin([o for o in OPERATION_LABELS if o != "redraw_graph"]))
+    kinds: dict[int, set[str]] = {}
+    for row in known.select("_round", "operation").distinct().collect():
+        kinds.setdefault(row["_round"], set()).add(row["operation"])
     rounds = queue.agg(F.max("_round")).first()[0] or 0
     rejected = None
     for k in range(1, rounds + 1):
+        ops = kinds.get(k, set())
         checked = materialise(validate_mutations(
             queue.filter(F.col("_round") == k).drop("_round"), labels, rel))
         bad = checked.filter(F.col("reject_reason").isNotNull())
         rejected = bad if rejected is None else rejected.unionByName(bad)
-        labels, rel = apply_round(labels, rel, checked.filter(F.col("reject_reason").isNull()))
-        if k < rounds:
-            labels, rel = materialise(labels), materialise(rel)
+        valid = checked.filter(F.col("reject_reason").isNull())
+        if ops & (NODE_EDITS | {"add_node"}):
+            labels = materialise(_edit_labels(labels, valid, ops))
+        if ops - {"add_node"}:
+            rel = materialise(_edit_relations(rel, valid, ops))
     return labels, rel, rejected
 
 

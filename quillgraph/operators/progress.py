@@ -28,22 +28,29 @@ def clamp_events(events: DataFrame) -> DataFrame:
     ).withColumn("item_seconds", F.greatest(F.coalesce("item_seconds", F.lit(0.0)), F.lit(0.0)))
 
 
+MICROS = 1_000_000
+
+
 def stage_metrics(sums: DataFrame) -> DataFrame:
-    """Derived figures of a stage from completed, total, cumulative seconds and samples."""
-    average = F.when(F.col("sample_count") > 0, F.col("cumulative") / F.col("sample_count"))
+    """Derived figures of a stage from completed, total, samples and their microseconds.
+
+    Whole microseconds add up to the same sum in any order, so rounded figures do
+    not depend on how the rows were spread.
+    """
+    spent = F.col("cumulative_us")
+    average = F.when(F.col("sample_count") > 0, spent / F.col("sample_count"))
     remaining = F.greatest(F.col("total") - F.col("completed"), F.lit(0))
     return (
         sums.withColumn("remaining", remaining)
         .withColumn("percentage", F.when(F.col("total") > 0, F.round(
             F.col("completed") * 100.0 / F.col("total"), 1)).otherwise(100.0))
-        .withColumn("average_item_seconds", F.round(average, 2))
-        .withColumn("cumulative_seconds", F.round("cumulative", 3))
+        .withColumn("average_item_seconds", F.round(average / (MICROS / 100), 0) / 100)
+        .withColumn("cumulative_seconds", F.round(spent / (MICROS / 1000), 0) / 1000)
         .withColumn("items_per_minute", F.when(
-            (F.col("cumulative") > 0) & (F.col("sample_count") > 0),
-            F.round(F.col("sample_count") * 60.0 / F.col("cumulative"), 2)))
+            spent > 0, F.round(F.col("sample_count") * (60.0 * MICROS * 100) / spent, 0) / 100))
         .withColumn("estimated_remaining_seconds", F.when(
-            average.isNotNull(), F.round(remaining * average, 0)).when(remaining == 0, F.lit(0.0)))
-        .drop("cumulative")
+            average.isNotNull(), F.round(remaining * average / MICROS, 0)).when(remaining == 0, F.lit(0.0)))
+        .drop("cumulative_us")
     )
 
 
@@ -64,7 +71,8 @@ def stage_progress(events: DataFrame) -> DataFrame:
             F.max_by("completed", "seq").alias("completed"), F.max_by("total", "seq").alias("total"),
             F.round(F.max_by(F.when(positive, F.col("item_seconds")), F.when(positive, F.col("seq"))), 2)
             .alias("latest_item_seconds"),
-            F.coalesce(F.sum(F.when(sample, F.col("item_seconds"))), F.lit(0.0)).alias("cumulative"),
+            F.coalesce(F.sum(F.when(sample, F.round(F.col("item_seconds") * MICROS, 0).cast("long"))), F.lit(0).cast("long"))
+            .alias("cumulative_us"),
             F.count(F.when(sample, 1)).alias("sample_count"),
             F.min_by(F.struct("completed", "total"), "seq").alias("first")))
     return stage_metrics(sums)

@@ -188,7 +188,9 @@ def extract_relations_baseline(chunks: DataFrame, mention_rows: DataFrame) -> Da
     """
     sentence = Window.partitionBy("doc_id", "bid", "ordinal", "sent").orderBy("pos")
     meetings = (
-        mention_rows.withColumn("source", F.lag("name").over(sentence))
+        # One shuffle by chunk serves the window, both groupings and the join below.
+        mention_rows.repartition("doc_id", "bid")
+        .withColumn("source", F.lag("name").over(sentence))
         .filter(F.col("source") != F.col("name"))
         .groupBy("doc_id", "bid", "ordinal", "source", F.col("name").alias("target"))
         .agg(F.count("*").alias("n"), F.min(F.struct("sent", "pos")).alias("at"))

@@ -47,7 +47,12 @@ def chunk_diff(t: Tables) -> DataFrame:
 
 
 @query("added_text", sql.using("chunks") + _NEW + """
-    SELECT doc_id, 'Entirely new closing line ' || doc_id AS last_gap FROM new""")
+    , k AS (SELECT c.doc_id, list(c.n ORDER BY c.ordinal) FILTER (WHERE c.n <> '' AND contains(new.norm, c.n)) AS l
+            FROM (SELECT doc_id, ordinal, " + sql.norm("text") + " AS n FROM chunks) c JOIN new USING (doc_id) GROUP BY c.doc_id),
+    g AS (SELECT new.doc_id, string_split(CASE WHEN l IS NULL THEN norm ELSE list_reduce(l, lambda acc, c:
+            CASE WHEN instr(acc, c) > 0 THEN left(acc, instr(acc, c) - 1) || chr(1) || substr(acc, instr(acc, c) + length(c)) ELSE acc END, norm) END, chr(1)) AS parts
+          FROM new LEFT JOIN k ON k.doc_id = new.doc_id)
+    SELECT doc_id, list_filter(list_transform(parts, lambda p: trim(p)), lambda p: p <> '')[-1] AS last_gap FROM g""".replace('" + sql.norm("text") + "', sql.norm("text")))
 def added_text(t: Tables) -> DataFrame:
     _, gaps = incremental.diff_chunks(t.chunks, _new_docs(t))
     return gaps.groupBy("doc_id").agg(F.max_by("text", "gap_no").alias("last_gap"))
@@ -263,18 +268,19 @@ _STAGES = sql.using("stage") + """
     , l AS (SELECT *, lag(completed, 1, 0) OVER (PARTITION BY job_id, stage ORDER BY seq) AS was FROM stage),
     g AS (SELECT job_id, stage, arg_max(completed, seq) AS completed, arg_max(total, seq) AS total,
             round(arg_max(item_seconds, seq) FILTER (WHERE item_seconds > 0), 2) AS latest_item_seconds,
-            coalesce(sum(item_seconds) FILTER (WHERE item_seconds > 0 AND completed > was), 0) AS cum,
+            coalesce(sum(round(item_seconds * 1000000, 0)::BIGINT) FILTER (WHERE item_seconds > 0 AND completed > was), 0)::BIGINT AS cum,
             count(*) FILTER (WHERE item_seconds > 0 AND completed > was) AS sample_count,
             arg_min(completed, seq) AS fc, arg_min(total, seq) AS ft
           FROM l GROUP BY job_id, stage),
     p AS (SELECT *, total - completed AS remaining, round(completed * 100.0::DOUBLE / total, 1) AS percentage,
-            round(CASE WHEN sample_count > 0 THEN cum / sample_count END, 2) AS average_item_seconds, round(cum, 3) AS cumulative_seconds FROM g)"""
+            round(CASE WHEN sample_count > 0 THEN cum / sample_count END / 10000.0::DOUBLE, 0) / 100 AS average_item_seconds,
+            round(cum / 1000.0::DOUBLE, 0) / 1000 AS cumulative_seconds FROM g)"""
 
 
 @query("stage_progress", _STAGES + """
     SELECT job_id, stage, completed, total, remaining, percentage, latest_item_seconds, average_item_seconds, cumulative_seconds,
-      sample_count, CASE WHEN cum > 0 THEN round(sample_count * 60.0::DOUBLE / cum, 2) END AS items_per_minute,
-      CASE WHEN sample_count > 0 THEN round(remaining * (cum / sample_count), 0) WHEN remaining = 0 THEN 0.0 END AS estimated_remaining_seconds
+      sample_count, CASE WHEN cum > 0 THEN round(sample_count * 6000000000.0::DOUBLE / cum, 0) / 100 END AS items_per_minute,
+      CASE WHEN sample_count > 0 THEN round(remaining * (cum / sample_count) / 1000000, 0) WHEN remaining = 0 THEN 0.0 END AS estimated_remaining_seconds
     FROM p""")
 def stage_progress(t: Tables) -> DataFrame:
     return progress.stage_progress(t.stage_events).drop("first")

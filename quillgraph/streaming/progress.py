@@ -8,29 +8,29 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quillgraph.operators.progress import STAGES, clamp_events, stage_metrics
+from quillgraph.operators.progress import MICROS, STAGES, clamp_events, stage_metrics
 
-STATE = "completed int, total int, latest double, cumulative double, samples long"
+STATE = "completed int, total int, latest double, cumulative_us long, samples long"
 SUMS = (
     "job_id string, stage string, completed int, total int, latest_item_seconds double, "
-    "cumulative double, sample_count long"
+    "cumulative_us long, sample_count long"
 )
 
 
 def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    done, total, latest, cumulative, samples = state.get if state.exists else (0, 0, None, 0.0, 0)
+    done, total, latest, cumulative, samples = state.get if state.exists else (0, 0, None, 0, 0)
     rows = pd.concat(list(batches)).sort_values("seq")
     for now, of, seconds in zip(rows["completed"], rows["total"], rows["item_seconds"]):
         if seconds > 0:
             latest = float(seconds)
             if now > done:
-                cumulative, samples = cumulative + float(seconds), samples + 1
+                cumulative, samples = cumulative + round(float(seconds) * MICROS), samples + 1
         done, total = int(now), int(of)
     state.update((done, total, latest, cumulative, samples))
     yield pd.DataFrame([{
         "job_id": key[0], "stage": key[1], "completed": done, "total": total,
         "latest_item_seconds": None if latest is None else round(latest, 2),
-        "cumulative": cumulative, "sample_count": samples}])
+        "cumulative_us": cumulative, "sample_count": samples}])
 
 
 def stream_stage_progress(events: DataFrame) -> DataFrame:
