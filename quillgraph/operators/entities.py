@@ -77,13 +77,14 @@ def mentions(chunks: DataFrame, gazetteer: DataFrame, min_len: int = 8, label: s
 
 def extract_entities_baseline(chunks: DataFrame, gazetteer: DataFrame, min_len: int = 8,
                               label: str = "lang") -> DataFrame:
-    """Entities of each chunk found by dictionary (doc_id, bid, ordinal, pos, name, type).
+    """Entities of each chunk found by dictionary (doc_id, bid, ordinal, pos, name, type)."""
+    return first_mentions(mentions(chunks, gazetteer, min_len, label))
 
-    ``pos`` orders a chunk's entities by first mention.
-    """
+
+def first_mentions(mention_rows: DataFrame) -> DataFrame:
+    """Distinct entities of each chunk; ``pos`` orders them by first mention."""
     return (
-        mentions(chunks, gazetteer, min_len, label)
-        .groupBy("doc_id", "bid", "ordinal", "name")
+        mention_rows.groupBy("doc_id", "bid", "ordinal", "name")
         .agg(F.first("type").alias("type"),
              F.min(F.col("sent") * 1000 + F.col("pos")).alias("pos"))
         .select("doc_id", "bid", "ordinal", "pos", "name", "type")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quillgraph.functions.arrays import explode_indexed
+from quillgraph.functions.arrays import bind, explode_indexed
 from quillgraph.functions.text import strip
 from quillgraph.operators.chunking import relation_batches, sentences
 from quillgraph.operators.entities import nest_entities
@@ -187,23 +187,28 @@ def extract_relations_baseline(chunks: DataFrame, mention_rows: DataFrame) -> Da
     sentence of the first meeting; each further meeting in the chunk adds 0.1.
     """
     sentence = Window.partitionBy("doc_id", "bid", "ordinal", "sent").orderBy("pos")
-    meetings = (
+    listed = (
         # One shuffle by chunk serves the window, both groupings and the join below.
         mention_rows.repartition("doc_id", "bid")
         .withColumn("source", F.lag("name").over(sentence))
         .filter(F.col("source") != F.col("name"))
         .groupBy("doc_id", "bid", "ordinal", "source", F.col("name").alias("target"))
-        .agg(F.count("*").alias("n"), F.min(F.struct("sent", "pos")).alias("at"))
+        .agg(F.min(F.struct("sent", "pos")).alias("at"), F.count("*").alias("n"))
+        .groupBy("doc_id", "bid", "ordinal")
+        .agg(F.array_sort(F.collect_list(F.struct("at", "source", "target", "n"))).alias("_found"))
     )
-    chunk = Window.partitionBy("doc_id", "bid").orderBy("at")
+    # The chunk's sentences are cut once, not once per relation.
+    quoted = bind(sentences(F.col("text")), lambda cut: F.transform("_found", lambda r: F.struct(
+        r["source"].alias("source"), r["target"].alias("target"), r["n"].alias("n"),
+        strip(F.get(cut, r["at"]["sent"])).alias("context"))))
     return (
-        meetings.withColumn("rel_idx", F.row_number().over(chunk) - 1)
-        .join(chunks.select("doc_id", "bid", "text"), ["doc_id", "bid"])
+        listed.join(chunks.select("doc_id", "bid", "text"), ["doc_id", "bid"])
+        .select("doc_id", "bid", "ordinal", quoted.alias("_quoted"))
+        .transform(explode_indexed, "_quoted", "rel_idx", "_r")
         .select(
-            "doc_id", "bid", "ordinal", "rel_idx", "source", "target",
-            F.lit("co-occurs").alias("relation"),
-            strip(F.get(sentences(F.col("text")), F.col("at.sent"))).alias("context"),
-            F.least(F.lit(1.0), F.lit(0.5) + F.lit(0.1) * (F.col("n") - 1)).alias("weight"),
+            "doc_id", "bid", "ordinal", "rel_idx", "_r.source", "_r.target",
+            F.lit("co-occurs").alias("relation"), "_r.context",
+            F.least(F.lit(1.0), F.lit(0.5) + F.lit(0.1) * (F.col("_r.n") - 1)).alias("weight"),
             F.lit("extracted").alias("origin"), F.lit(None).cast("string").alias("edit_id"))
     )
 

@@ -7,6 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillgraph.operators import chunking, entities, graph, relations
+from quillgraph.session import materialise
 
 LINE_TOKENS = 32_768
 
@@ -47,6 +48,8 @@ class Tables:
         return self.read("embeddings")
 
     # Term graph: one graph per document, lines as chunks, rare long words as entities.
+    # Mentions and relations are stored tables of a knowledge base; they are written
+    # once here as well, instead of being worked out again by every use in a plan.
 
     @cached_property
     def chunks(self) -> DataFrame:
@@ -59,15 +62,15 @@ class Tables:
 
     @cached_property
     def mentions(self) -> DataFrame:
-        return entities.mentions(self.chunks, self.gazetteer)
+        return materialise(entities.mentions(self.chunks, self.gazetteer))
 
     @cached_property
     def chunk_entities(self) -> DataFrame:
-        return entities.extract_entities_baseline(self.chunks, self.gazetteer)
+        return entities.first_mentions(self.mentions)
 
     @cached_property
     def relations(self) -> DataFrame:
-        return relations.extract_relations_baseline(self.chunks, self.mentions)
+        return materialise(relations.extract_relations_baseline(self.chunks, self.mentions))
 
     @cached_property
     def labels(self) -> DataFrame:
