@@ -18,16 +18,15 @@ def _grams(text: Column) -> Column:
     return F.array_distinct(F.flatten(F.array(*[of(n) for n in range(1, GRAM + 1)])))
 
 
-def contains_join(texts: DataFrame, names: DataFrame, keys: list[str], text: str, name: str) -> DataFrame:
+def contains_join(texts: DataFrame, names: DataFrame, keys: list[str], ids: list[str],
+                  text: str, name: str) -> DataFrame:
     """Pairs of a text and a name found in it, among rows that share ``keys``.
 
-    A name meets only the texts that hold its first characters; the match is then
-    checked in full.
+    A name meets only the texts that hold its first characters.  The exploded
+    rows carry ``keys`` and ``ids`` (together unique per text) but not the text,
+    which joins the remaining candidates once for the full check.
     """
-    keyed_texts = texts.withColumn("_grams", _grams(F.col(text))).transform(explode_items, "_grams", "_gram")
-    keyed_names = names.filter(F.length(name) > 0).withColumn("_gram", F.left(F.col(name), F.lit(GRAM)))
-    return (
-        keyed_texts.join(keyed_names, [*keys, "_gram"])
-        .filter(F.contains(F.col(text), F.col(name)))
-        .drop("_gram")
-    )
+    places = texts.select(*keys, *ids, _grams(F.col(text)).alias("_grams")).transform(explode_items, "_grams", "_gram")
+    starts = names.filter(F.length(name) > 0).withColumn("_gram", F.left(F.col(name), F.lit(GRAM)))
+    candidates = places.join(starts, [*keys, "_gram"]).drop("_gram")
+    return candidates.join(texts, [*keys, *ids]).filter(F.contains(F.col(text), F.col(name)))

@@ -31,7 +31,7 @@ def legacy_entities(chunks: DataFrame, chunk_entities: DataFrame, labels: DataFr
         "doc_id", "bid", "ordinal", fold(F.col("text")).alias("_text"))
     names = labels.filter(is_highlightable(F.col("name"))).select(
         "doc_id", "name", "label", "first_pos", fold(F.col("name")).alias("_name"))
-    found = contains_join(bare, names, ["doc_id"], "_text", "_name")
+    found = contains_join(bare, names, ["doc_id"], ["bid"], "_text", "_name")
     pos = F.row_number().over(Window.partitionBy("doc_id", "bid").orderBy("first_pos", "name")) - 1
     return found.select(
         "doc_id", "bid", "ordinal", pos.alias("pos"), "name", F.col("label").alias("type"))

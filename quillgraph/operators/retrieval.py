@@ -113,7 +113,7 @@ def link_query_entities(questions: DataFrame, nodes: DataFrame, cap: int = LINK_
     """Nodes of the question's graph named in the question, longest names first."""
     names = nodes.select("graph_id", "node")
     asked = questions.select("query_id", "graph_id", "question")
-    found = contains_join(asked, names, ["graph_id"], "question", "node")
+    found = contains_join(asked, names, ["graph_id"], ["query_id"], "question", "node")
     order = Window.partitionBy("query_id").orderBy(F.desc(F.length("node")), "node")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= cap).select(
         "query_id", "graph_id", "node", "rank")
@@ -148,9 +148,13 @@ def community_relations(linked: DataFrame, communities: DataFrame, edges: DataFr
     end = lambda name: chosen.withColumnRenamed("community_id", f"{name}_community")
     inside = strong.join(end("source"), ["graph_id", "source_community"]).join(
         end("target"), ["query_id", "graph_id", "target_community"], "left_semi")
-    ranked = inside.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*best)))
-    kept = ranked if top_n <= 0 else ranked.filter(F.col("rank") <= top_n)
-    return kept.drop("source_community", "target_community")
+    inside = inside.drop("source_community", "target_community")
+    if top_n <= 0:
+        down = inside.withColumn("_down", -F.col("weight"))
+        ranked = ordered_index(down, ["query_id"], [F.col("_down"), F.col("source"), F.col("target")], "rank")
+        return ranked.drop("_down").withColumn("rank", F.col("rank") + 1)
+    order = Window.partitionBy("query_id").orderBy(*best)
+    return inside.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_n)
 
 
 def format_relations(edges: DataFrame) -> DataFrame:

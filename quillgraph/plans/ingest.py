@@ -417,7 +417,9 @@ def _long_words(texts: list[str]) -> list[list[tuple[str, str]]]:
     return [[(w, "word") for w in dict.fromkeys(x.strip(".,") for x in s.split()) if len(w) >= 12] for s in texts]
 
 
-@query("extracted_entities")
+@query("extracted_entities", sql.using("chunks") + r"""
+    SELECT doc_id, bid, ordinal, NULL AS error, len(list_distinct(list_filter(list_transform(
+             string_split_regex(text, '\s+'), lambda w: trim(w, '.,')), lambda w: length(w) >= 12))) AS n_entities FROM chunks""")
 def extracted_entities(t: Tables) -> DataFrame:
     found = entities.extract_entities(t.chunks, _long_words)
     return found.select("doc_id", "bid", "ordinal", F.size("entities").alias("n_entities"), "error")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -45,17 +47,29 @@ def work_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     folder = tempfile.mkdtemp(prefix="quillgraph-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def _remove(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def materialise(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
     """Cut the lineage of ``df`` by writing it once to the shared folder.
 
     Unlike an RDD checkpoint the plan runs only once, and the files give the
     planner true sizes, so later joins broadcast only what is really small.
+    ``replaces`` is an earlier cut that nothing reads any more; its files go, so
+    a loop holds one state on disk.
     """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if replaces is not None:
+        _remove(spark, replaces._cut_path)
+    cut = spark.read.schema(df.schema).parquet(path)
+    cut._cut_path = path
+    return cut

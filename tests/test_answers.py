@@ -38,9 +38,9 @@ def test_rerank_by_score(spark):
 def test_contains_join_matches_brute_force(spark):
     texts = ["abcd", "xbcx", "", "ab", "字中文字"]
     names = ["b", "bc", "bcd", "abcd", "中文", "zz", "ab"]
-    left = spark.createDataFrame([(1, t) for t in texts], "k int, text string")
+    left = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "k int, i int, text string")
     right = spark.createDataFrame([(1, n) for n in names], "k int, name string")
-    got = sorted((r.text, r.name) for r in contains_join(left, right, ["k"], "text", "name").collect())
+    got = sorted((r.text, r.name) for r in contains_join(left, right, ["k"], ["i"], "text", "name").collect())
     assert got == sorted((t, n) for t in texts for n in names if n in t)
 
 
