@@ -192,9 +192,12 @@ def library_listing(stored: DataFrame, status: DataFrame, texts: DataFrame, vers
         F.greatest("_edited", "_changed").alias("last_edited_at"))
 
 
-def extension_label(file_name: Column) -> Column:
-    return F.when(F.lower(file_name).endswith(".kmn.zip"), "KMN").otherwise(
-        F.upper(F.element_at(F.split(file_name, r"\."), -1)))
+def extension_label(file_name: Column, packages: dict[str, str] | None = None) -> Column:
+    """Upper-case extension; ``packages`` names longer endings such as transfer packages."""
+    label = F.upper(F.element_at(F.split(file_name, r"\."), -1))
+    for ending, name in (packages or {}).items():
+        label = F.when(F.lower(file_name).endswith(ending), F.lit(name)).otherwise(label)
+    return label
 
 
 def filter_library(files: DataFrame, query: str = "", ext: str = "", status: str = "",

@@ -141,14 +141,17 @@ class Tables:
             F.lit(0).alias("graph_id"), F.col("n_name").alias("node"),
             F.col("n_regionkey").cast("long").alias("community_id"))
 
-    # Stage events: one job per user, three stages, counters in event order.
-
     @cached_property
     def stage_events(self) -> DataFrame:
-        names = F.array(*[F.lit(s) for s in (
-            "entity_extraction", "relationship_extraction", "knowledge_fusion")])
-        return self.events.select(
-            F.col("user_id").cast("string").alias("job_id"), F.col("event_id").alias("seq"),
-            F.get(names, (F.col("event_id") % 3).cast("int")).alias("stage"),
-            (F.length("props") + F.col("event_id") % 50).cast("int").alias("completed"),
-            F.lit(60).alias("total"), F.col("value").alias("item_seconds"))
+        return stage_events(self.events)
+
+
+def stage_events(events: DataFrame) -> DataFrame:
+    """One job per user with three stages; works on a table or a stream."""
+    names = F.array(*[F.lit(s) for s in (
+        "entity_extraction", "relationship_extraction", "knowledge_fusion")])
+    return events.select(
+        F.col("user_id").cast("string").alias("job_id"), F.col("event_id").alias("seq"),
+        F.get(names, (F.col("event_id") % 3).cast("int")).alias("stage"),
+        (F.length("props") + F.col("event_id") % 50).cast("int").alias("completed"),
+        F.lit(60).alias("total"), F.col("value").alias("item_seconds"))

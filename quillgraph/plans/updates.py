@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from quillgraph.functions import text as tx
-from quillgraph.operators import chunking, editing, graph, incremental, progress
+from quillgraph.operators import editing, incremental, progress
 from quillgraph.plans import sql
 from quillgraph.plans.registry import query
-from quillgraph.plans.tables import LINE_TOKENS, Tables
+from quillgraph.plans.tables import Tables, stage_events
+from quillgraph.streaming import progress as live
 
 STAMP = "2024-01-01 00:00:00"
 
@@ -277,15 +278,25 @@ _STAGES = sql.using("stage") + """
             round(cum / 1000.0::DOUBLE, 0) / 1000 AS cumulative_seconds FROM g)"""
 
 
-@query("stage_progress", _STAGES + """
+_STAGE_ROWS = _STAGES + """
     SELECT job_id, stage, completed, total, remaining, percentage, latest_item_seconds, average_item_seconds, cumulative_seconds,
       sample_count, CASE WHEN cum > 0 THEN round(sample_count * 6000000000.0::DOUBLE / cum, 0) / 100 END AS items_per_minute,
       CASE WHEN sample_count > 0 THEN round(remaining * (cum / sample_count) / 1000000, 0) WHEN remaining = 0 THEN 0.0 END AS estimated_remaining_seconds
-    FROM p""")
+    FROM p"""
+
+
+@query("stage_progress", _STAGE_ROWS)
 def stage_progress(t: Tables) -> DataFrame:
     return progress.stage_progress(t.stage_events).drop("first")
 
 
+@query("streamed_stage_progress", _STAGE_ROWS)
+def streamed_stage_progress(t: Tables) -> DataFrame:
+    """The same figures from the events read as a stream."""
+    stream = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir)
+    return live.publish_progress(t.spark, stage_events(stream))
+
+
 @query("overall_progress", _STAGES + """
     , w AS (SELECT job_id, max(percentage) FILTER (WHERE stage = 'entity_extraction') AS p1, max(percentage) FILTER (WHERE stage = 'relationship_extraction') AS p2,
         max(percentage) FILTER (WHERE stage = 'knowledge_fusion') AS p3, max(remaining) FILTER (WHERE stage = 'entity_extraction') AS r1,

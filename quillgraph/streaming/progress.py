@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quillgraph.operators.progress import MICROS, STAGES, clamp_events, stage_metrics
+from quillgraph.session import work_dir
 
 STATE = "completed int, total int, latest double, cumulative_us long, samples long"
 SUMS = (
@@ -39,3 +41,22 @@ def stream_stage_progress(events: DataFrame) -> DataFrame:
     sums = clean.groupBy("job_id", "stage").applyInPandasWithState(
         _advance, SUMS, STATE, "update", GroupStateTimeout.NoTimeout)
     return stage_metrics(sums)
+
+
+def publish_progress(spark: SparkSession, events: DataFrame, folder: str | None = None) -> DataFrame:
+    """Run the stream over what has arrived and return the latest row per (job, stage).
+
+    Each micro-batch writes its own folder, so a replayed batch replaces itself;
+    readers take the newest batch of each key.
+    """
+    root = folder or f"{work_dir(spark)}/progress-{uuid.uuid4().hex}"
+
+    def publish(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/updates/batch={batch_id}")
+
+    stream_stage_progress(events).writeStream.outputMode("update").foreachBatch(publish).option(
+        "checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(f"{root}/updates")
+    rest = [c for c in rows.columns if c not in {"job_id", "stage", "batch"}]
+    return rows.groupBy("job_id", "stage").agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(
+        "job_id", "stage", "_r.*")
