@@ -8,7 +8,7 @@ from quillgraph.functions import text as tx
 from quillgraph.operators import evidence, graph, retrieval
 from quillgraph.plans import sql
 from quillgraph.plans.registry import query
-from quillgraph.plans.tables import Tables
+from quillgraph.plans.tables import Tables, only_graph
 
 
 def _md5(col: str) -> object:
@@ -146,7 +146,7 @@ _ASKED_NATIONS = """
 def community_relations(t: Tables) -> DataFrame:
     linked = t.read("nation").select("n_regionkey", "n_nationkey", "n_name", F.explode(F.array(F.lit(0), F.lit(1))).alias("k")).filter(
         "k = 0 or n_nationkey % 2 = 0").select(
-        F.concat_ws("-", "n_regionkey", "k").alias("query_id"), F.lit(0).alias("graph_id"), F.col("n_name").alias("node"))
+        F.concat_ws("-", "n_regionkey", "k").alias("query_id"), only_graph("n_nationkey"), F.col("n_name").alias("node"))
     return retrieval.community_relations(linked, t.trade_communities, t.trade_edges).select(
         "query_id", "edge_id", "weight", "rank")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quillgraph.operators import chunking, entities, graph, relations
 from quillgraph.session import materialise
@@ -12,6 +12,11 @@ from quillgraph.session import materialise
 LINE_TOKENS = 32_768
 
 
+def only_graph(key: str) -> Column:
+    """Graph id 0 taken from a column: a literal would be folded out of join keys."""
+    return (F.col(key) * 0).cast("int").alias("graph_id")
+
+
 class Tables:
     """Lazy access to the tables of one folder."""
 
@@ -97,7 +102,7 @@ class Tables:
         return self.read("lineitem").groupBy("l_suppkey", "l_partkey").agg(
             F.sum("l_quantity").alias("weight")
         ).select(
-            F.lit(0).alias("graph_id"),
+            only_graph("l_suppkey"),
             F.concat(F.lit("S"), F.col("l_suppkey")).alias("source"),
             F.concat(F.lit("P"), F.col("l_partkey")).alias("target"),
             F.concat_ws("-", F.lit("edge"), "l_suppkey", "l_partkey").alias("edge_id"),
@@ -129,7 +134,7 @@ class Tables:
         return (
             sales.join(name("buyer", "source"), "buyer").join(name("seller", "target"), "seller")
             .select(
-                F.lit(0).alias("graph_id"), "source", "target",
+                only_graph("buyer"), "source", "target",
                 F.concat_ws("-", "source", "target").alias("edge_id"), F.lit("buys from").alias("label"),
                 F.lit("").alias("title"), F.round(F.col("revenue") / top, 6).alias("weight"),
                 (F.col("buyer") * 1000 + F.col("seller")).cast("long").alias("first_at")))
@@ -138,7 +143,7 @@ class Tables:
     def trade_communities(self) -> DataFrame:
         nations = self.read("nation")
         return nations.select(
-            F.lit(0).alias("graph_id"), F.col("n_name").alias("node"),
+            only_graph("n_nationkey"), F.col("n_name").alias("node"),
             F.col("n_regionkey").cast("long").alias("community_id"))
 
     @cached_property
