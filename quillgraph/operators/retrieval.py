@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillgraph.functions.arrays import bind, dot
 from quillgraph.functions.containment import contains_join
-from quillgraph.functions.text import normalize_ws, prepare_embedding_text, preview
+from quillgraph.functions.text import prepare_embedding_text, preview
 from quillgraph.operators.communities import ordered_index, with_communities
 
 EMBED_BATCH = 32
