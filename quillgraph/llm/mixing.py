@@ -163,3 +163,19 @@ def mix(docs: DataFrame, seed: int = 7, keep: tuple[str, ...] = (), weights: tup
     return taken.join(targets.select("_no", "source_size", "target"), "_no").select(
         "doc_id", "source", *keep, "size", "source_size", "target", copies.cast("int").alias("copies"),
         (copies * F.col("size")).cast("long").alias("taken"))
+
+
+def resample(docs: DataFrame, seed: int = 7, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE) -> DataFrame:
+    """The rows of the mix, with all columns: each row as often as :func:`mix` takes it.
+
+    Rows that are equal in all columns are counted together and written so many times.
+    """
+    key = [F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_k"), F.xxhash64(
+        F.lit(1), *docs.columns, *[F.col(c).isNull() for c in docs.columns]).alias("_r")]
+    keyed = docs.select("*", *key)
+    counted = mix(keyed, seed, ("_k", "_r"), weights, share).groupBy("_k", "_r").agg(F.sum("copies").alias("_times")).filter("_times > 0")
+    once = keyed.dropDuplicates(["_k", "_r"]).join(counted, ["_k", "_r"])
+    # Two steps, so that a row of very many copies needs no long array.
+    blocks = once.withColumn("_block", F.explode(F.sequence(F.lit(0), F.call_function("div", F.col("_times") - 1, F.lit(1000)))))
+    left = F.least(F.col("_times") - 1000 * F.col("_block"), F.lit(1000))
+    return blocks.withColumn("_copy", F.explode(F.sequence(F.lit(1), left.cast("int")))).select(*docs.columns)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from quillgraph.llm.textkit import as_bytes, partitions, slices
 
 SEGMENT = 1 << 16
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 
 #: Cells of a frequency table (16 MB) and bits of a membership filter (16 MB).
 CELLS = 1 << 24

@@ -21,13 +21,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quillgraph.llm.textkit import Words, as_bytes, mix, partitions, slices, spread
+from quillgraph.llm.sketches import SEGMENT, Membership, by_segment, gather, merged, pack_offsets, unpack_offsets
+from quillgraph.llm.textkit import Words, as_bytes, mix, slices, spread
+from quillgraph.session import materialise
 
 WINDOW_WORDS = 35
 ROWS = 2
 MOST_BITS = 1 << 30
-SEGMENT = 1 << 16          # cells of one segment, the unit in which sketches travel
-FLUSH = 1 << 21            # windows that a task gathers before it sends them on
+FLUSH = 1 << 20            # windows that a task gathers before it sends them on
 WORD_BYTES = 6             # rough size of a word with its space, for the sketch's width
 
 _U = np.uint64
@@ -47,30 +48,13 @@ def _windows(texts: list[bytes | None], size: int) -> tuple[np.ndarray, np.ndarr
     return first, (second >> _U(32)).astype(np.uint32), owner, np.arange(len(owner)) - starts[owner]
 
 
-def _planes(offsets: np.ndarray) -> bytes:
-    """Sorted offsets as steps, low bytes before high bytes, which compresses well."""
-    steps = np.diff(offsets, prepend=0).astype("<u2")
-    return steps.view(np.uint8).reshape(-1, 2).T.tobytes()
-
-
-def _offsets(planes: bytes) -> np.ndarray:
-    steps = np.frombuffer(planes, np.uint8).reshape(2, -1).T.copy().view("<u2").ravel()
-    return np.cumsum(steps.astype(np.int64))
-
-
 def _sketch_rows(hashes: np.ndarray, width: int) -> pa.RecordBatch:
-    segments, once, more = [], [], []
+    rows = []
     for row, cells in enumerate(_cells(hashes, width)):
         cells, counts = np.unique(cells.astype(np.int64) + row * width, return_counts=True)
-        cut = np.flatnonzero(np.diff(cells // SEGMENT)) + 1
-        for part, many in zip(np.split(cells, cut), np.split(counts > 1, cut)):
-            if len(part):
-                segments.append(int(part[0] // SEGMENT))
-                once.append(_planes(part[~many] % SEGMENT))
-                more.append(_planes(part[many] % SEGMENT))
-    return pa.RecordBatch.from_arrays([
-        pa.array(segments, pa.int32()), pa.array(once, pa.binary()), pa.array(more, pa.binary())],
-        names=["segment", "once", "more"])
+        rows += [(s, pack_offsets(at[~many]), pack_offsets(at[many])) for s, at, many in by_segment(cells, counts > 1)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names=["segment", "once", "more"])
 
 
 def repeated_cells(docs: DataFrame, width: int, size: int) -> DataFrame:
@@ -88,28 +72,13 @@ def repeated_cells(docs: DataFrame, width: int, size: int) -> DataFrame:
         if total:
             yield _sketch_rows(np.concatenate(held), width)
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, counts = None, None
-
-        def done() -> pa.RecordBatch:
-            bits = np.packbits(counts > 1, bitorder="little").tobytes()
-            return pa.RecordBatch.from_arrays([pa.array([current], pa.int32()), pa.array([bits], pa.binary())], names=["segment", "bits"])
-
-        for batch in batches:
-            for segment, once, more in zip(*(batch.column(c).to_pylist() for c in ("segment", "once", "more"))):
-                if segment != current:
-                    if current is not None:
-                        yield done()
-                    current, counts = segment, np.zeros(SEGMENT, np.uint8)
-                one = _offsets(once)
-                counts[one] = np.minimum(counts[one] + 1, 2)
-                counts[_offsets(more)] = 2
-        if current is not None:
-            yield done()
+    def add(counts: np.ndarray, piece: dict) -> None:
+        one = unpack_offsets(piece["once"])
+        counts[one] = np.minimum(counts[one] + 1, 2)
+        counts[unpack_offsets(piece["more"])] = 2
 
     parts = docs.select("text").mapInArrow(count, "segment int, once binary, more binary")
-    return parts.repartition(partitions(docs), "segment").sortWithinPartitions("segment").mapInArrow(
-        merge, "segment int, bits binary")
+    return merged(parts, np.uint8, add, lambda counts: np.packbits(counts > 1, bitorder="little").tobytes())
 
 
 def _width(docs: DataFrame) -> int:
@@ -119,21 +88,18 @@ def _width(docs: DataFrame) -> int:
 
 def _bitmap(docs: DataFrame, width: int, size: int) -> bytes:
     """The merged sketch as one bitmap; its size is bounded by ``MOST_BITS``."""
-    bits = np.zeros((ROWS * width // SEGMENT + 1, SEGMENT // 8), np.uint8)
-    for row in repeated_cells(docs, width, size).toLocalIterator():
-        bits[row["segment"]] = np.frombuffer(row["bits"], np.uint8)
-    return bits.tobytes()
+    return gather(repeated_cells(docs, width, size), ROWS * width // SEGMENT + 1, SEGMENT // 8)
 
 
-_HITS = pa.schema([("h1", pa.int64()), ("h2", pa.int32()), ("doc_id", pa.int64()), ("mark", pa.int64()),
-                   ("pos", pa.int32()), ("n", pa.int32()), ("settled", pa.binary())])
+_HITS = pa.schema([("h1", pa.int64()), ("h2", pa.int32()), ("doc_id", pa.int64()), ("mark", pa.int32()),
+                   ("pos", pa.int32()), ("settled", pa.binary())])
 
 
 def _settle(h1, h2, docs, marks, pos) -> pa.RecordBatch:
     """Rows to send on for one flush of candidate windows.
 
-    A window met once goes on with its place; one met more often goes on once, without a
-    place, and its places come back as one row per document.
+    A window met once goes on with its place; one met more often goes on once, with place
+    -1, and its places come back as one row per document.
     """
     order = np.lexsort((h2, h1))
     h1, h2, docs, marks, pos = (x[order] for x in (h1, h2, docs, marks, pos))
@@ -147,15 +113,14 @@ def _settle(h1, h2, docs, marks, pos) -> pa.RecordBatch:
     groups = np.split(by_doc, edge) if len(by_doc) else []
     heads = np.array([g[0] for g in groups], dtype=np.int64)
     settled = [None] * (len(alone) + len(twice)) + [pos[g].astype("<i4").tobytes() for g in groups]
-    empty = np.zeros(len(twice), np.int64)
+    empty = np.zeros(len(twice), np.int32)
     as_signed = lambda h: h.view(np.int64)
     return pa.RecordBatch.from_arrays([
-        pa.array(np.concatenate([as_signed(h1)[alone], as_signed(h1)[twice], marks[heads]])),
+        pa.array(np.concatenate([as_signed(h1)[alone], as_signed(h1)[twice], docs[heads]])),
         pa.array(np.concatenate([h2.view(np.int32)[alone], h2.view(np.int32)[twice], np.zeros(len(heads), np.int32)])),
-        pa.array(np.concatenate([docs[alone], empty, docs[heads]])),
+        pa.array(np.concatenate([docs[alone], empty.astype(np.int64), docs[heads]])),
         pa.array(np.concatenate([marks[alone], empty, marks[heads]])),
         pa.array(np.concatenate([pos[alone], np.full(len(twice), -1), np.full(len(heads), -1)]).astype(np.int32)),
-        pa.array(np.concatenate([np.ones(len(alone)), np.full(len(twice), 2), np.zeros(len(heads))]).astype(np.int32)),
         pa.array(settled, pa.binary())], schema=_HITS)
 
 
@@ -189,8 +154,9 @@ def repeated_places(docs: DataFrame, size: int = WINDOW_WORDS) -> DataFrame:
         if total:
             yield _settle(*(np.concatenate(x) for x in zip(*held)))
 
-    sent = docs.mapInArrow(candidates, "h1 bigint, h2 int, doc_id bigint, mark bigint, pos int, n int, settled binary")
-    total = F.sum("n").over(Window.partitionBy("h1", "h2"))
+    sent = docs.mapInArrow(candidates, "h1 bigint, h2 int, doc_id bigint, mark int, pos int, settled binary")
+    times = F.when(F.col("settled").isNotNull(), 0).when(F.col("pos") < 0, 2).otherwise(1)
+    total = F.sum(times).over(Window.partitionBy("h1", "h2"))
     met = sent.withColumn("_total", total).filter(F.col("settled").isNotNull() | ((F.col("_total") > 1) & (F.col("pos") >= 0)))
     return met.select("doc_id", "mark", "pos", "settled")
 
@@ -203,14 +169,17 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW_WORDS) -> DataFrame:
     of repeated rows none is spared, as each repeats the other.  Other columns are
     left out.
     """
-    docs = spread(docs.select("doc_id", "text")).withColumn(
-        "mark", F.xxhash64(F.coalesce("text", F.lit("")), F.col("doc_id").isNull()))
-    found = repeated_places(docs, size).groupBy("doc_id", "mark").agg(
+    docs = spread(docs.select("doc_id", "text")).withColumns({
+        "mark": F.hash(F.coalesce("text", F.lit("")), F.col("doc_id").isNull()), "_id": F.coalesce("doc_id", F.lit(0))})
+    found = materialise(repeated_places(docs, size).groupBy(F.col("doc_id").alias("_id"), "mark").agg(
         F.collect_list(F.when(F.col("pos") >= 0, F.col("pos"))).alias("single"),
-        F.collect_list("settled").alias("settled"))
-    keyed = docs.withColumn("_id", F.coalesce("doc_id", F.lit(0)))
-    joined = keyed.join(found.withColumnRenamed("doc_id", "_id"), ["_id", "mark"], "left").select(
-        "doc_id", "text", "single", "settled")
+        F.collect_list("settled").alias("settled")))
+    # Only documents with a repeated window (and few others) are moved to meet their places.
+    key = F.struct("_id", "mark")
+    marked = docs.withColumn("_near", Membership(found, key).has(key))
+    joined = marked.filter("_near").join(found, ["_id", "mark"], "left").select("doc_id", "text", "single", "settled")
+    others = marked.filter("not _near").select("doc_id", "text", F.lit(None).cast("array<int>").alias("single"),
+                                               F.lit(None).cast("array<binary>").alias("settled"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64())])
@@ -230,4 +199,4 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW_WORDS) -> DataFrame:
                 out[3].append(len(words) - len(kept))
             yield pa.RecordBatch.from_arrays([out[0], pa.array(out[1], pa.string()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64())], schema=schema)
 
-    return joined.mapInArrow(cut, "doc_id bigint, text string, n_words bigint, n_removed bigint")
+    return joined.unionByName(others).mapInArrow(cut, "doc_id bigint, text string, n_words bigint, n_removed bigint")
