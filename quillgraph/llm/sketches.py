@@ -67,8 +67,9 @@ def merged(parts: DataFrame, dtype: type, add: Callable[[np.ndarray, dict], None
 def gather(segments: DataFrame, count: int, width: int) -> bytes:
     """The merged table as one value of ``count * width`` bytes, its size fixed by the caller."""
     out = np.zeros((count, width), np.uint8)
-    for row in segments.toLocalIterator():
-        out[row["segment"]] = np.frombuffer(row["bits"], np.uint8)
+    for batch in segments.toArrow().to_batches():
+        for segment, bits in zip(batch.column("segment").to_pylist(), batch.column("bits")):
+            out[segment] = np.frombuffer(bits.as_buffer(), np.uint8)
     return out.tobytes()
 
 
@@ -120,11 +121,20 @@ class Membership:
         hashed = keys.select(F.pmod(F.xxhash64(key), F.lit(bits)).alias("cell"))
 
         def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, total = [], 0
+
+            def sent() -> pa.RecordBatch:
+                rows = [(s, pack_offsets(o)) for s, o in by_segment(np.unique(np.concatenate(held)))]
+                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary()))], names=["segment", "at"])
+
             for batch in batches:
-                cells = np.unique(batch.column("cell").to_numpy())
-                rows = [(s, pack_offsets(o)) for s, o in by_segment(cells)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary()))], names=["segment", "at"])
+                held.append(batch.column("cell").to_numpy())
+                total += len(held[-1])
+                if total >= FLUSH:
+                    yield sent()
+                    held, total = [], 0
+            if total:
+                yield sent()
 
         def add(cells: np.ndarray, piece: dict) -> None:
             cells[unpack_offsets(piece["at"])] = True
