@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Text handled at a time in a worker.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -46,16 +46,21 @@ def _multiplier(seed: int) -> int:
     return int(mix(np.array([seed * 7_919 + 3], dtype=_U))[0]) | 1
 
 
-@lru_cache(maxsize=16)
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def _powers(multiplier: int, size: int) -> np.ndarray:
-    out = np.full(size, multiplier, dtype=_U)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+    """Powers of an odd number modulo 2**64; one array per number is kept and grows with demand."""
+    kept = _POWERS.get(multiplier)
+    if kept is None or len(kept) < size:
+        kept = np.full(1 << max(10, int(size - 1).bit_length()), multiplier, dtype=_U)
+        kept[0] = 1
+        kept = _POWERS[multiplier] = np.multiply.accumulate(kept)
+    return kept
 
 
 def _scales(multiplier: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the multiplier and of its inverse modulo 2**64."""
-    size = 1 << max(10, int(size - 1).bit_length())
     return _powers(multiplier, size), _powers(pow(multiplier, -1, 1 << 64), size)
 
 
