@@ -64,8 +64,9 @@ def text_quality(text: Column) -> Column:
     return F.when(size == 0, F.lit(0.0)).otherwise(score / size)
 
 
-def prepare_embedding_text(text: Column, limit: int = 512) -> Column:
-    return F.left(normalize_ws(text), F.lit(limit))
+def prepare_embedding_text(text: Column) -> Column:
+    """The whole text with whitespace collapsed; a model's own limit is the embedder's matter."""
+    return normalize_ws(text)
 
 
 def is_highlightable(term: Column) -> Column:
@@ -80,7 +81,7 @@ def is_highlightable(term: Column) -> Column:
 
 def block_id(doc_id: Column, ordinal: Column, text: Column) -> Column:
     """Chunk id that is stable between runs and unique across documents."""
-    digest = F.substring(F.sha1(F.left(text, F.lit(50)).cast("binary")), 1, 12)
+    digest = F.substring(F.sha1(text.cast("binary")), 1, 12)
     return F.concat_ws("_", doc_id.cast("string"), F.lit("block"), ordinal.cast("string"), digest)
 
 

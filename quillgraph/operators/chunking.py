@@ -108,26 +108,19 @@ def split_by_tokens(docs: DataFrame, max_tokens: int = DEFAULT_MAX_TOKENS,
 
 
 def split_by_separator(docs: DataFrame, sep: str = "</end>", keep: bool = False,
-                       max_tokens: int = DEFAULT_MAX_TOKENS, overflow: str = "split",
+                       max_tokens: int = DEFAULT_MAX_TOKENS,
                        tokenizer: Tokenizer | None = None, doc_key: str = "doc_id") -> DataFrame:
-    """Chunks between separators.
-
-    A chunk over ``max_tokens`` continues in further chunks; ``overflow='truncate'``
-    drops the rest of it instead, as the original rule does.
-    """
-    if overflow not in {"split", "truncate"}:
-        raise ValueError("overflow must be 'split' or 'truncate'")
+    """Chunks between separators; a chunk over ``max_tokens`` continues in further chunks."""
     parts = F.split(F.col("text"), rf"\Q{sep}\E", -1)
     count = F.size(parts)
     ended = F.transform(
         parts, lambda p, i: F.when(i < count - 1, F.concat(p, F.lit(sep))).otherwise(p)) if keep else parts
     whole = F.when(F.element_at(parts, -1) == "", F.slice(ended, F.lit(1), count - 1)).otherwise(ended)
     if tokenizer is not None:
-        return _split_parts_with(docs, whole, max_tokens, overflow, tokenizer, doc_key)
+        return _split_parts_with(docs, whole, max_tokens, tokenizer, doc_key)
 
     def pieces(toks: Column) -> Column:
-        last = F.lit(0) if overflow == "truncate" else F.greatest(
-            F.ceil(F.size(toks) / max_tokens).cast("int") - 1, F.lit(0))
+        last = F.greatest(F.ceil(F.size(toks) / max_tokens).cast("int") - 1, F.lit(0))
         return F.transform(
             F.sequence(F.lit(0), last),
             lambda k: F.array_join(F.slice(toks, k * max_tokens + 1, F.lit(max_tokens)), ""))
@@ -143,7 +136,7 @@ def split_by_separator(docs: DataFrame, sep: str = "</end>", keep: bool = False,
     return _explode_chunks(staged, "_pieces", doc_key)
 
 
-def _split_parts_with(docs: DataFrame, parts: Column, max_tokens: int, overflow: str,
+def _split_parts_with(docs: DataFrame, parts: Column, max_tokens: int,
                       tokenizer: Tokenizer, doc_key: str) -> DataFrame:
     """Separator split with a Python tokenizer, which returns each document's pieces."""
 
@@ -153,10 +146,8 @@ def _split_parts_with(docs: DataFrame, parts: Column, max_tokens: int, overflow:
             out: list[str] = []
             for item in items:
                 toks = tokenizer(item)
-                ends = range(0, max(len(toks), 1), max_tokens)
-                starts = list(ends)[:1] if overflow == "truncate" else ends
                 out += [item] if len(toks) <= max_tokens else [
-                    "".join(toks[i:i + max_tokens]) for i in starts]
+                    "".join(toks[i:i + max_tokens]) for i in range(0, len(toks), max_tokens)]
             return out
 
         return batch.map(lambda items: cut(list(items)))

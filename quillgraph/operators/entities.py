@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillgraph.functions.arrays import explode_indexed
 from quillgraph.functions.text import UNKNOWN_LABEL, strip
@@ -13,7 +13,7 @@ from quillgraph.operators.chunking import sentences
 
 Extractor = Callable[[list[str]], list[list[tuple[str, str]]]]
 
-ORDER_STRIDE = 1_000_000  # first_pos = chunk ordinal * stride + position in the chunk
+ORDER_STRIDE = 1 << 32  # first_pos = chunk ordinal * stride + position in the chunk; positions are 32-bit
 
 
 def extract_entities(chunks: DataFrame, extractor: Extractor) -> DataFrame:
@@ -40,16 +40,15 @@ def extract_entities(chunks: DataFrame, extractor: Extractor) -> DataFrame:
              "entities array<struct<name:string,type:string>>, error string")
 
 
-def term_gazetteer(docs: DataFrame, min_len: int = 8, df_range: tuple[int, int] = (2, 200),
+def term_gazetteer(docs: DataFrame, min_len: int = 8, min_df: int = 2,
                    label: str = "lang") -> DataFrame:
-    """Offline gazetteer: words in few documents of their language (label, name, doc_freq)."""
+    """Offline gazetteer: long words in at least ``min_df`` documents of their language (label, name, doc_freq)."""
     words = docs.select("doc_id", label, F.array_distinct(
         _words(F.col("text"), min_len)).alias("_w"))
-    low, high = df_range
     return (
         words.transform(explode_indexed, "_w", "_p", "name")
         .groupBy(label, "name").agg(F.count("*").alias("doc_freq"))
-        .filter(F.col("doc_freq").between(low, high))
+        .filter(F.col("doc_freq") >= min_df)
         .withColumnRenamed(label, "type")
     )
 
@@ -82,12 +81,12 @@ def extract_entities_baseline(chunks: DataFrame, gazetteer: DataFrame, min_len:
 
 
 def first_mentions(mention_rows: DataFrame) -> DataFrame:
-    """Distinct entities of each chunk; ``pos`` orders them by first mention."""
+    """Distinct entities of each chunk; ``pos`` numbers them from 0 by first mention."""
+    chunk = Window.partitionBy("doc_id", "bid", "ordinal").orderBy("_met")
     return (
         mention_rows.groupBy("doc_id", "bid", "ordinal", "name")
-        .agg(F.first("type").alias("type"),
-             F.min(F.col("sent") * 1000 + F.col("pos")).alias("pos"))
-        .select("doc_id", "bid", "ordinal", "pos", "name", "type")
+        .agg(F.min("type").alias("type"), F.min(F.struct("sent", "pos")).alias("_met"))
+        .select("doc_id", "bid", "ordinal", (F.row_number().over(chunk) - 1).alias("pos"), "name", "type")
     )
 
 

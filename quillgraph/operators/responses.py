@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -15,29 +16,42 @@ FENCE = r"(?i)```(?:json)?\s*([\s\S]*?)\s*```"
 MATERIAL_HEADING = r"参考资料[：:]([\s\S]+)$"
 TRUNCATED = ["length", "max_tokens"]
 
+# A JSON string: plain characters, then any escapes with plain characters behind them.
+JSON_STRING = r'"([^"\\]*(?:\\.[^"\\]*)*)"'
+_TOKEN = re.compile(JSON_STRING + r"|[\[\]{}]", re.S)
 
-def _first_json(text: str | None) -> str | None:
-    """The JSON value at the start of a fence or of the text, whatever follows it."""
-    if text is None:
-        return None
-    inner = text.partition("```")[2].partition("```")[0] if text.count("```") > 1 else None
-    if inner is not None and inner[:4].lower() == "json":
-        inner = inner[4:]
-    reader = json.JSONDecoder()
-    for body in filter(None, (inner, text)):
-        at = min((i for i in (body.find("{"), body.find("[")) if i >= 0), default=None)
-        if at is None:
-            continue
-        try:
-            _, end = reader.raw_decode(body, at)
-        except json.JSONDecodeError:
+
+def _string_field(field: str) -> str:
+    """A field whose value is a string, or a list that begins with one."""
+    return rf'"{field}"\s*:\s*\[?\s*{JSON_STRING}'
+
+
+def _balanced(text: str | None) -> str | None:
+    """The first part of a text whose brackets close again, if it is JSON.
+
+    Walks over strings and brackets only; a bracket inside a string does not count.
+    """
+    start, depth = None, 0
+    for token in _TOKEN.finditer(text or ""):
+        if start is None and token[0][0] == '"':
             continue
-        return body[at:end]
+        if token[0] in "{[":
+            start = token.start() if start is None else start
+            depth += 1
+        elif token[0] in "}]" and start is not None:
+            depth -= 1
+            if depth == 0:
+                part = text[start: token.end()]
+                try:
+                    json.loads(part)
+                except json.JSONDecodeError:
+                    return None
+                return part
     return None
 
 
-def _leading_json(text: pd.Series) -> pd.Series:
-    return text.map(_first_json)
+def _leading_json(fenced: pd.Series, whole: pd.Series) -> pd.Series:
+    return pd.Series([_balanced(a) or _balanced(b) for a, b in zip(fenced, whole)], dtype=object)
 
 
 def _if_json(text: Column) -> Column:
@@ -52,10 +66,10 @@ def find_json(df: DataFrame, raw: str, into: str) -> DataFrame:
     body = strip(F.col(raw))
     fenced = F.nullif(F.regexp_extract(F.col(raw), FENCE, 1), F.lit(""))
     clean = _if_json(F.coalesce(fenced, body))
-    leading = F.pandas_udf(_leading_json, "string")
     return (
         df.withColumn("_clean", clean)
-        .withColumn("_rest", leading(F.when(F.col("_clean").isNull(), F.col(raw))))
+        .withColumn("_rest", F.pandas_udf(_leading_json, "string")(
+            F.when(F.col("_clean").isNull(), fenced), F.when(F.col("_clean").isNull(), F.col(raw))))
         .withColumn(into, F.coalesce("_clean", "_rest"))
         .drop("_clean", "_rest")
     )
@@ -117,7 +131,7 @@ def _joined_text(json_text: Column, field: str) -> Column:
 
 def _recovered(raw: Column, field: str) -> Column:
     """The completed string behind ``"field":`` in JSON that breaks off later."""
-    literal = F.regexp_extract(raw, rf'"{field}"\s*:\s*(?:\[\s*)?"((?:\\.|[^"\\])*)"', 1)
+    literal = F.regexp_extract(raw, _string_field(field), 1)
     decoded = F.from_json(F.concat(F.lit('{"v":"'), literal, F.lit('"}')), "v string").v
     return strip(F.coalesce(decoded, literal))
 
@@ -129,7 +143,7 @@ def parse_answers(responses: DataFrame) -> DataFrame:
     plain = F.col("_json").isNull() & (body != "") & ~F.contains(body, F.lit("{")) & ~F.contains(
         F.lower(body), F.lit("```json"))
     cut = F.col("finish_reason").isin(TRUNCATED)
-    has_answer = F.col("raw").rlike(r'"answer"\s*:\s*(?:\[\s*)?"(?:\\.|[^"\\])*"')
+    has_answer = F.col("raw").rlike(_string_field("answer"))
     is_object = F.json_object_keys("_json").isNotNull()
     before = strip(F.regexp_replace(body, MATERIAL_HEADING, ""))
     after = strip(F.regexp_extract(body, MATERIAL_HEADING, 1))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -13,6 +14,7 @@ from quillgraph.functions.text import prepare_embedding_text, preview
 from quillgraph.operators.communities import ordered_index, with_communities
 
 EMBED_BATCH = 32
+EMBED_WINDOW = 512
 DEFAULT_DIM = 64
 LINK_CAP = 8
 SUMMARY_LINK_CAP = 20
@@ -42,10 +44,11 @@ def hashed_term_vector(text: Column, dim: int = DEFAULT_DIM) -> Column:
 
 
 def embed_chunks(chunks: DataFrame, embedder: Embedder | None = None, dim: int = DEFAULT_DIM,
-                 batch: int = EMBED_BATCH) -> DataFrame:
-    """Add a unit ``embedding`` of each chunk's prepared text; blank chunks are rejected.
+                 batch: int = EMBED_BATCH, window: int = EMBED_WINDOW) -> DataFrame:
+    """Add a unit ``embedding`` of each chunk's whole prepared text; blank chunks are rejected.
 
-    A user's embedder is built once per worker and called on ``batch`` texts.
+    A user's embedder is called on ``batch`` texts at a time.  A text longer than ``window``
+    characters is embedded window by window, and the vectors are averaged by length.
     """
     prepared = chunks.withColumn("_text", prepare_embedding_text(F.col("text"))).filter(F.col("_text") != "")
     if embedder is None:
@@ -54,11 +57,16 @@ def embed_chunks(chunks: DataFrame, embedder: Embedder | None = None, dim: int =
     @F.pandas_udf("array<double>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
-            texts = part.tolist()
-            vectors: list[list[float]] = []
-            for at in range(0, len(texts), batch):
-                vectors += [list(map(float, v)) for v in embedder(texts[at:at + batch])]
-            yield pd.Series(vectors)
+            cuts = [[text[i:i + window] for i in range(0, len(text), window)] for text in part]
+            pieces = [piece for cut in cuts for piece in cut]
+            vectors = [v for at in range(0, len(pieces), batch) for v in embedder(pieces[at:at + batch])]
+            done, at = [], 0
+            for cut in cuts:
+                weights = np.array([len(piece) for piece in cut], dtype=float)
+                block = np.array(vectors[at:at + len(cut)], dtype=float)
+                done.append((weights @ block / weights.sum()).tolist())
+                at += len(cut)
+            yield pd.Series(done)
 
     unit = bind(F.col("_raw"), lambda v: bind(
         F.sqrt(dot(v, v)), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(x))))

@@ -43,7 +43,7 @@ def _questions(t: Tables) -> DataFrame:
 # -- embedding and vector search ----------------------------------------------
 
 @query("embedding_text", f"""
-    SELECT doc_id, md5(left({sql.norm('text')}, 512)) AS digest FROM documents""")
+    SELECT doc_id, md5({sql.norm('text')}) AS digest FROM documents""")
 def embedding_text(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.md5(tx.prepare_embedding_text(F.col("text")).cast("binary")).alias("digest"))
 
@@ -52,7 +52,7 @@ def embedding_text(t: Tables) -> DataFrame:
     SELECT doc_id, d, round(x, 6) AS value FROM (
       SELECT doc_id, unnest({_UNIT}) AS x, unnest(range(64)) AS d FROM (
         SELECT doc_id, v, {_NORM} AS n FROM (
-          SELECT doc_id, {_vector('b')} AS v FROM (SELECT doc_id, left({sql.norm('text')}, 512) AS b FROM documents) WHERE b <> '')))
+          SELECT doc_id, {_vector('b')} AS v FROM (SELECT doc_id, {sql.norm('text')} AS b FROM documents) WHERE b <> '')))
     WHERE x > 0""")
 def embedded_documents(t: Tables) -> DataFrame:
     done = retrieval.embed_chunks(t.documents.select("doc_id", "text"))
@@ -199,7 +199,7 @@ def hybrid_retrieval(t: Tables) -> DataFrame:
     lnk AS (SELECT doc_id AS query_id, 'graph', 'edge', number, 'graph-edge-' || id, source || ' · ' || relation || ' · ' || target,
                    md5(left({sql.norm('context')}, 180)) FROM (
               SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, seq, id) AS number FROM (
-                SELECT rel.*, {sql.edge_id()} AS id, ordinal::BIGINT * 1000000 + rel_idx AS seq FROM rel
+                SELECT rel.*, {sql.edge_id()} AS id, ordinal::BIGINT * 4294967296 + rel_idx AS seq FROM rel
                 WHERE EXISTS (SELECT 1 FROM lk WHERE lk.query_id = doc_id AND (lk.name = source OR lk.name = target)))) WHERE number <= 2)
     SELECT * FROM src UNION ALL SELECT * FROM nod UNION ALL SELECT * FROM lnk""")
 def citations(t: Tables) -> DataFrame:

@@ -229,7 +229,7 @@ def betweenness(t: Tables) -> DataFrame:
 
 @query("supply_betweenness")
 def supply_betweenness(t: Tables) -> DataFrame:
-    return analytics.betweenness(t.supply_edges).withColumn("score", F.round("score", 9))
+    return analytics.betweenness(t.supply_edges, sources=48).withColumn("score", F.round("score", 9))
 
 
 @query("connected_components", sql.using("edges", "ends") + """
@@ -255,7 +255,7 @@ def supply_components(t: Tables) -> DataFrame:
 
 @query("louvain")
 def louvain(t: Tables) -> DataFrame:
-    return analytics.louvain(t.edges, min_gain=1e-3)
+    return analytics.louvain(t.edges)
 
 
 @query("modularity", sql.using("trade", "tcomm") + """

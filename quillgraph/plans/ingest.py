@@ -290,13 +290,13 @@ def separator_chunks(t: Tables) -> DataFrame:
     return t.chunks.select("doc_id", "bid", "ordinal", "n_tokens")
 
 
-@query("separator_chunks_truncated", f"""
-    SELECT doc_id, count(*) AS n_chunks, max(n)::BIGINT AS max_tokens, sum(n)::BIGINT AS kept_tokens FROM (
-      SELECT doc_id, least({sql.count('piece', sql.TOKEN)}, 40) AS n FROM (
+@query("separator_chunks_limited", f"""
+    SELECT doc_id, sum(greatest(1, (n + 39) // 40))::BIGINT AS n_chunks, max(least(n, 40))::BIGINT AS max_tokens, sum(n)::BIGINT AS kept_tokens FROM (
+      SELECT doc_id, {sql.count('piece', sql.TOKEN)} AS n FROM (
         SELECT doc_id, unnest(CASE WHEN p[-1] = '' THEN p[:-2] ELSE p END) AS piece
         FROM (SELECT doc_id, string_split(text, '. ') AS p FROM documents))) GROUP BY doc_id""")
-def separator_chunks_truncated(t: Tables) -> DataFrame:
-    done = chunking.split_by_separator(t.documents.select("doc_id", "text"), ". ", max_tokens=40, overflow="truncate")
+def separator_chunks_limited(t: Tables) -> DataFrame:
+    done = chunking.split_by_separator(t.documents.select("doc_id", "text"), ". ", max_tokens=40)
     return done.groupBy("doc_id").agg(
         F.count("*").alias("n_chunks"), F.max("n_tokens").cast("long").alias("max_tokens"),
         F.sum("n_tokens").alias("kept_tokens"))

@@ -19,7 +19,7 @@ def count(x: str, pattern: str) -> str:
 
 
 def bid(text: str = "text", doc: str = "doc_id", ordinal: str = "ordinal") -> str:
-    return f"concat_ws('_', {doc}, 'block', {ordinal}, substr(sha1(left({text}, 50)), 1, 12))"
+    return f"concat_ws('_', {doc}, 'block', {ordinal}, substr(sha1({text}), 1, 12))"
 
 
 def edge_id(bid: str = "bid", idx: str = "rel_idx") -> str:
@@ -43,7 +43,7 @@ _PARTS: list[tuple[str, tuple[str, ...], str]] = [
     ("gaz", (), r"""
         SELECT lang AS type, name, count(*) AS doc_freq FROM (
           SELECT DISTINCT doc_id, lang, unnest(regexp_extract_all(lower(text), '\p{L}{8,}')) AS name FROM documents)
-        GROUP BY lang, name HAVING count(*) BETWEEN 2 AND 200"""),
+        GROUP BY lang, name HAVING count(*) >= 2"""),
     ("sents", ("chunks",), f"""
         SELECT doc_id, lang, ordinal, bid, unnest(s) AS sentence, unnest(range(len(s)))::INT AS sent FROM (
           SELECT *, regexp_extract_all(text, '[^{ENDS}]*[{ENDS}]|[^{ENDS}]+') AS s FROM chunks)"""),
@@ -53,25 +53,26 @@ _PARTS: list[tuple[str, tuple[str, ...], str]] = [
             SELECT *, regexp_extract_all(lower(sentence), '\p{L}{8,}') AS l FROM sents)) w
         SEMI JOIN gaz ON w.type = gaz.type AND w.name = gaz.name"""),
     ("ents", ("mentions",), """
-        SELECT doc_id, bid, ordinal, min(sent * 1000 + pos) AS pos, name, any_value(type) AS type
-        FROM mentions GROUP BY doc_id, bid, ordinal, name"""),
+        SELECT doc_id, bid, ordinal, (row_number() OVER (PARTITION BY doc_id, bid, ordinal ORDER BY met) - 1)::INT AS pos, name, type
+        FROM (SELECT doc_id, bid, ordinal, name, min({'sent': sent, 'pos': pos}) AS met, min(type) AS type
+              FROM mentions GROUP BY doc_id, bid, ordinal, name)"""),
     ("rel", ("mentions", "sents"), f"""
         SELECT g.doc_id, g.bid, g.ordinal,
                row_number() OVER (PARTITION BY g.doc_id, g.bid ORDER BY met) - 1 AS rel_idx,
                source, target, 'co-occurs' AS relation, {strip('s.sentence')} AS context,
                least(1.0::DOUBLE, 0.5::DOUBLE + 0.1::DOUBLE * (n - 1)) AS weight, 'extracted' AS origin
-        FROM (SELECT doc_id, bid, ordinal, source, name AS target, count(*) AS n, min(sent * 1000000 + pos) AS met
+        FROM (SELECT doc_id, bid, ordinal, source, name AS target, count(*) AS n, min(sent::BIGINT * 4294967296 + pos) AS met
               FROM (SELECT *, lag(name) OVER (PARTITION BY doc_id, bid, ordinal, sent ORDER BY pos) AS source FROM mentions)
               WHERE source <> name GROUP BY doc_id, bid, ordinal, source, name) g
-        JOIN sents s ON g.bid = s.bid AND s.sent = g.met // 1000000"""),
+        JOIN sents s ON g.bid = s.bid AND s.sent = g.met // 4294967296"""),
     ("labels", ("ents",), """
-        SELECT doc_id, name, arg_min(type, ordinal::BIGINT * 1000000 + pos) AS label,
-               min(ordinal::BIGINT * 1000000 + pos) AS first_pos FROM ents GROUP BY doc_id, name"""),
+        SELECT doc_id, name, arg_min(type, ordinal::BIGINT * 4294967296 + pos) AS label,
+               min(ordinal::BIGINT * 4294967296 + pos) AS first_pos FROM ents GROUP BY doc_id, name"""),
     ("edges", ("rel",), f"""
         SELECT doc_id AS graph_id, source, target, arg_max(eid, seq) AS edge_id, arg_max(relation, seq) AS label,
                arg_max(context, seq) AS title, arg_max(weight, seq) AS weight, arg_max(bid, seq) AS bid,
                min(seq) AS first_at
-        FROM (SELECT *, ordinal::BIGINT * 1000000 + rel_idx AS seq, {edge_id()} AS eid FROM rel)
+        FROM (SELECT *, ordinal::BIGINT * 4294967296 + rel_idx AS seq, {edge_id()} AS eid FROM rel)
         GROUP BY doc_id, source, target"""),
     ("ends", ("edges",), """
         SELECT graph_id, source AS node, 0 AS role, first_at FROM edges

@@ -12,7 +12,7 @@ import __spark_entry__ as entry_point  # noqa: E402
 DATA = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
-SAMPLE = ["token_chunks", "separator_chunks_truncated", "validated_relations", "edges", "edge_evidence",
+SAMPLE = ["token_chunks", "separator_chunks_limited", "validated_relations", "edges", "edge_evidence",
           "community_overview", "supply_components", "nearest_vectors", "highlight_index", "added_text", "overall_progress"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="test tables are not here")

@@ -213,7 +213,6 @@ def test_separator_chunks(spark):
     texts = lambda **kw: [r.text for r in chunking.split_by_separator(docs, **kw).orderBy("ordinal").collect()]
     assert texts() == ["one two", "three four five six"]
     assert texts(max_tokens=3) == ["one two", "three four five", "six"]
-    assert texts(max_tokens=3, overflow="truncate") == ["one two", "three four five"]
     assert texts(keep=True) == ["one two</end>", "three four five six</end>"]
     assert texts(max_tokens=3, tokenizer=lambda s: [w + " " for w in s.split()]) == ["one two", "three four five", "six"]
 

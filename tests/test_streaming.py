@@ -21,7 +21,7 @@ def test_stream_equals_batch(spark, tmp_path):
     inbox.mkdir()
     kb = KnowledgeBase(spark, str(tmp_path / "kb"))
     docs = spark.createDataFrame(list(TEXTS.items()), "doc_id string, text string").withColumn("lang", F.lit("en"))
-    terms = entities.term_gazetteer(docs, df_range=(1, 10))
+    terms = entities.term_gazetteer(docs, min_df=1)
     run = lambda: ingest.stream_ingest(
         spark, str(inbox), kb, str(tmp_path / "ck"), terms, label="en", split=_lines).awaitTermination()
     for name, text in TEXTS.items():
