@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Text handled at a time in a worker.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True

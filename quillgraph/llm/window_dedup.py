@@ -28,7 +28,8 @@ from quillgraph.session import materialise
 WINDOW_WORDS = 35
 ROWS = 2
 MOST_BITS = 1 << 30
-FLUSH = 1 << 20            # windows that a task gathers before it sends them on
+FLUSH = 1 << 20            # windows that a task counts before it sends them on
+SETTLE = 1 << 19           # candidate windows that meet within a task
 WORD_BYTES = 6             # rough size of a word with its space, for the sketch's width
 
 _U = np.uint64
@@ -148,7 +149,7 @@ def repeated_places(docs: DataFrame, size: int = WINDOW_WORDS) -> DataFrame:
                 at = np.flatnonzero(keep)
                 held.append((h1[at], h2[at], ids[cut][owner[at]], marks[cut][owner[at]], pos[at]))
                 total += len(at)
-                if total >= FLUSH:
+                if total >= SETTLE:
                     yield _settle(*(np.concatenate(x) for x in zip(*held)))
                     held, total = [], 0
         if total:

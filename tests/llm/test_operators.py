@@ -286,6 +286,7 @@ def test_window_dedup_with_a_full_sketch(docs, monkeypatch):
     """A sketch far too small only sends more windows on; flushes of few windows meet in the exact grouping."""
     monkeypatch.setattr(window_dedup, "MOST_BITS", 64)
     monkeypatch.setattr(window_dedup, "FLUSH", 50)
+    monkeypatch.setattr(window_dedup, "SETTLE", 50)
     found = _by_row(window_dedup.remove_repeats(docs, 10), "doc_id", "n_words", "n_removed", "text")
     plain = brute.windows_removed([r[1] for r in ROWS], 10)
     assert found == sorted(((r[0], n, m, t) for r, (n, m, t) in zip(ROWS, plain)), key=repr)
