@@ -33,8 +33,8 @@ RANGES = 4096
 def fit(sizes: np.ndarray, counts: np.ndarray, budget: float) -> np.ndarray:
     """How many of each size to take, at most ``counts``, so that their sum comes nearest below ``budget``.
 
-    A proportional part keeps the mixture of sizes; largest sizes then fill what is
-    left down to ``DP_BUDGET``, and a bounded knapsack the rest.
+    A proportional part, one less of each size, keeps the mixture of sizes; largest sizes
+    then fill what is left down to ``DP_BUDGET``, and a bounded knapsack the rest.
     """
     take = np.zeros(len(sizes), dtype=np.int64)
     total = float((sizes * counts).sum())
@@ -42,7 +42,7 @@ def fit(sizes: np.ndarray, counts: np.ndarray, budget: float) -> np.ndarray:
         return take
     if budget >= total:
         return counts.astype(np.int64).copy()
-    take = np.floor(counts * (budget / total)).astype(np.int64)
+    take = np.maximum(np.floor(counts * (budget / total)).astype(np.int64) - 1, 0)
     rest = int(budget) - int((take * sizes).sum())
     for i in np.argsort(-sizes, kind="stable"):
         if rest <= DP_BUDGET:
