@@ -190,10 +190,11 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     usable = sets.filter("n > 0 and doc_id is not null")
     nodes = usable.groupBy("k1", "k2").agg(
         F.min("doc_id").alias("node"), F.any_value("n").alias("n"), F.any_value("low").alias("low"), F.any_value("prefix").alias("prefix"))
-    tokens = nodes.select("node", "n", "low", F.explode("prefix").alias("token"))
+    tokens = nodes.select("node", "n", F.explode("prefix").alias("token"))
     repeated = tokens.groupBy("token").agg(F.min("node").alias("_a"), F.max("node").alias("_b")).filter("_a <> _b").select("token")
     rows = materialise(tokens.join(repeated, "token"))
-    wanted = materialise(rows.groupBy("node").agg(F.min("low").alias("low")))
+    lows = usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.any_value("low").alias("low"))
+    wanted = materialise(rows.select("node").distinct().join(lows, "node").groupBy("node").agg(F.min("low").alias("low")))
     near = Membership(wanted, F.col("node"))
     texts = materialise(docs.filter(F.col("doc_id").isNotNull()).filter(near.has(F.col("doc_id"))).withColumnRenamed("doc_id", "node")
                         .join(wanted.select("node"), "node", "leftsemi").dropDuplicates(["node", "text"]))
