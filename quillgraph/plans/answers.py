@@ -288,20 +288,20 @@ def legacy_entities(t: Tables) -> DataFrame:
 
 @query("evidence_terms", sql.using("chunks", "ents", "rel") + _HIGHLIGHTS + """
     SELECT DISTINCT t.doc_id AS request_id, eu.term FROM eu JOIN txt t USING (bid)
-    WHERE contains(body, lower(term)) AND ordinal <= 3""")
+    WHERE contains(body, lower(term))""")
 def evidence_terms(t: Tables) -> DataFrame:
-    refs = t.chunks.filter("ordinal <= 3").select(F.col("doc_id").alias("request_id"), "doc_id", "bid")
+    refs = t.chunks.select(F.col("doc_id").alias("request_id"), "doc_id", "bid")
     index = evidence.highlight_index(t.chunks, t.chunk_entities, t.relations)
     return evidence.evidence_terms(refs, index).filter("kind = 'entity_terms'").select("request_id", "term")
 
 
 @query("inferred_terms", sql.using("chunks", "rel") + """
-    , r AS (SELECT rel.* FROM rel WHERE ordinal <= 3)
+    , r AS (SELECT rel.* FROM rel)
     SELECT DISTINCT doc_id AS request_id, kind, md5(term) AS digest FROM (
       SELECT doc_id, 'entity_terms' AS kind, source AS term FROM r UNION ALL SELECT doc_id, 'entity_terms', target FROM r
       UNION ALL SELECT doc_id, 'relation_terms', relation FROM r UNION ALL SELECT doc_id, 'evidence_terms', context FROM r)""")
 def inferred_terms(t: Tables) -> DataFrame:
-    refs = t.chunks.filter("ordinal <= 3").select(F.col("doc_id").alias("request_id"), "doc_id", "bid")
+    refs = t.chunks.select(F.col("doc_id").alias("request_id"), "doc_id", "bid")
     view = graph.graph_view(t.labels, t.relations)
     done = evidence.inferred_terms(refs, graph.node_source_blocks(t.relations), view)
     return done.select("request_id", "kind", _md5("term").alias("digest"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from quillgraph.functions import text as tx
@@ -9,6 +11,7 @@ from quillgraph.operators import chunking, entities, relations, responses
 from quillgraph.plans import sql
 from quillgraph.plans.registry import query
 from quillgraph.plans.tables import Tables
+from quillgraph.session import work_dir
 from quillgraph.sources import chats, corpus, layout, markdown, packages, store
 
 WS = sql.WS
@@ -36,10 +39,17 @@ def upload_checks(t: Tables) -> DataFrame:
     return corpus.check_uploads(t.documents.select("doc_id", F.expr(_NAME).alias("file_name")))
 
 
-@query("read_corpus_files")
+@query("read_corpus_files", """
+    SELECT doc_id, '.txt' AS ext, 'utf-8' AS encoding, length(text) AS n_chars, md5(text) AS digest FROM documents""")
 def read_corpus_files(t: Tables) -> DataFrame:
-    files = corpus.read_corpus(t.spark, t.sf_dir, (".parquet",))
-    return files.select("doc_id", "file_name", "ext", F.length("content").alias("size"))
+    """The documents written out as one text file each, and read back through the file reader."""
+    folder = f"{work_dir(t.spark)}/files-{uuid.uuid4().hex}"
+    t.documents.select(F.col("doc_id").alias("number"), F.col("text").alias("value")).write.partitionBy("number").text(folder)
+    found = corpus.decode_text(corpus.read_corpus(t.spark, folder, (".txt",)))
+    body = F.left("text", F.length("text") - 1)   # the writer ends every file with a newline
+    return found.select(
+        F.regexp_extract("doc_id", r"^number=(\d+)/", 1).cast("long").alias("doc_id"), "ext", "encoding",
+        F.length(body).alias("n_chars"), F.md5(body.cast("binary")).alias("digest"))
 
 
 @query("decode_text", """
@@ -358,7 +368,7 @@ def item_batches(t: Tables) -> DataFrame:
 
 def _responses(t: Tables) -> DataFrame:
     """Two attempts per document: the language decides how the first one fails."""
-    good = F.to_json(F.struct(F.array("lang").alias("entities"), F.left("text", F.lit(80)).alias("note")))
+    good = F.to_json(F.struct(F.array("lang").alias("entities"), F.col("text").alias("note")))
     first = (
         F.when(F.col("lang") == "en", F.concat(F.lit("```json\n"), good, F.lit("\n```")))
         .when(F.col("lang") == "fr", F.concat(F.lit("answer: "), good, F.lit(" end")))

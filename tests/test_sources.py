@@ -10,11 +10,11 @@ from quillgraph.sources.store import KnowledgeBase
 
 def test_decodes_common_encodings(spark):
     cases = {
-        "utf8": ("三国志".encode(), "三国志", "utf-8"),
-        "gb": ("三国志 白话文，天下大势，分久必合。".encode("gb18030"), "三国志 白话文，天下大势，分久必合。", "gb18030"),
+        "utf8": ("潮汐表".encode(), "潮汐表", "utf-8"),
+        "gb": ("潮汐表：每日两次，港口开放。".encode("gb18030"), "潮汐表：每日两次，港口开放。", "gb18030"),
         "big5": ("三國志 白話文，天下大勢，分久必合。".encode("big5"), "三國志 白話文，天下大勢，分久必合。", "big5"),
-        "utf16": (codecs.BOM_UTF16_LE + "三国志".encode("utf-16-le"), "三国志", "utf-16"),
-        "sig": (codecs.BOM_UTF8 + "三国志".encode(), "三国志", "utf-8-sig"),
+        "utf16": (codecs.BOM_UTF16_LE + "潮汐表".encode("utf-16-le"), "潮汐表", "utf-16"),
+        "sig": (codecs.BOM_UTF8 + "潮汐表".encode(), "潮汐表", "utf-8-sig"),
         "empty": (b"", "", "utf-8"),
     }
     df = spark.createDataFrame([(k, bytearray(v[0])) for k, v in cases.items()], "doc_id string, content binary")
@@ -29,10 +29,10 @@ def test_undecodable_bytes_give_null(spark):
 
 def test_read_corpus_keeps_supported_files(spark, tmp_path):
     (tmp_path / "note.one.md").write_text("hello", encoding="utf-8")
-    (tmp_path / "plain.TXT").write_bytes("三国志 天下大势".encode("gb18030"))
+    (tmp_path / "plain.TXT").write_bytes("港口 开放".encode("gb18030"))
     (tmp_path / "image.png").write_bytes(b"x")
     rows = {r.doc_id: (r.ext, r.text) for r in corpus.read_texts(spark, str(tmp_path)).collect()}
-    assert rows == {"note.one": (".md", "hello"), "plain": (".txt", "三国志 天下大势")}
+    assert rows == {"note.one": (".md", "hello"), "plain": (".txt", "港口 开放")}
 
 
 def test_upload_names(spark):
@@ -170,7 +170,7 @@ def test_package_rules(spark, manifest, extra, reason):
 
 
 def test_token_chunks_keep_text_and_size(spark):
-    text = "计算机科学研究计算与信息。" * 200
+    text = "渡船每天清晨离开北港。" * 200
     rows = chunking.split_by_tokens(spark.createDataFrame([("d", text)], "doc_id string, text string"), 32, 12).orderBy("ordinal").collect()
     assert len(rows) > 1 and "".join(r.text for r in rows) == text
     assert all(0 < r.n_tokens <= 32 for r in rows)
