@@ -99,37 +99,48 @@ def sketch_bins(measured: DataFrame) -> DataFrame:
         "lang", "source", F.col("s.signal").alias("signal"), number.cast("long").alias("bin")).agg(F.count("*").alias("n"))
 
 
-def _quartiles(bins: DataFrame, keys: list[str]) -> DataFrame:
-    """Quartiles of each sketch, one row per group; a group has at most some thousand bins."""
-    merged = bins.groupBy(*keys, "signal", "bin").agg(F.sum("n").alias("n"))
-    group = Window.partitionBy(*keys, "signal")
-    below = group.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = merged.withColumns({"_cum": F.sum("n").over(below), "rows": F.sum("n").over(group)})
-    value = F.when(F.col("bin") == ZERO_BIN, 0.0).otherwise(2 * F.pow(F.lit(GAMMA), F.col("bin")) / (GAMMA + 1))
-    at = lambda share: F.min(F.when(F.col("_cum") >= share * F.col("rows"), F.col("_v")))
-    return ranked.withColumn("_v", value).groupBy(*keys, "signal").agg(
-        F.max("rows").alias("rows"), at(0.25).alias("q1"), at(0.75).alias("q3"))
+def _levels(bins: DataFrame) -> DataFrame:
+    """The sketches of (language, source), of each language and of all, merged by adding counts."""
+    none = F.lit(None).cast("string")
+    group = lambda level, lang, source: F.struct(F.lit(level).alias("level"), lang.alias("lang"), source.alias("source"))
+    each = F.explode(F.array(group(2, F.col("lang"), F.col("source")), group(1, F.col("lang"), none), group(0, none, none))).alias("g")
+    return bins.select(each, "signal", "bin", "n").groupBy("g.level", "g.lang", "g.source", "signal", "bin").agg(F.sum("n").alias("n"))
 
 
-def _fences(quartiles: DataFrame, keys: list[str]) -> DataFrame:
+def fences(bins: DataFrame) -> DataFrame:
+    """One row of thresholds per level, language and source: (level, lang, source, rows, f).
+
+    A sketch has at most some thousand bins; its quartiles come from their running sum.
+    """
+    keys = ["level", "lang", "source"]
+    # One shuffle by group serves the running sums and both groupings.
+    merged = _levels(bins).repartition(*keys)
+    sketch = Window.partitionBy(*keys, "signal")
+    running = sketch.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    value = F.when(F.col("bin") == ZERO_BIN, 0.0).otherwise(2 * F.pow(F.lit(GAMMA), F.col("bin")) / (GAMMA + 1))
+    ranked = merged.withColumns({"_cum": F.sum("n").over(running), "rows": F.sum("n").over(sketch), "_v": value})
+    at = lambda share: F.min(F.when(F.col("_cum") >= share * F.col("rows"), F.col("_v")))
+    quartiles = ranked.groupBy(*keys, "signal").agg(F.max("rows").alias("rows"), at(0.25).alias("q1"), at(0.75).alias("q3"))
     least = F.create_map(*[F.lit(x) for pair in SIGNALS.items() for x in pair])[F.col("signal")]
     reach = FENCE * F.greatest(F.col("q3") - F.col("q1"), least)
-    wide = quartiles.withColumns({"hi": F.col("q3") + reach, "lo": F.col("q1") - reach})
-    pick = lambda s, of: F.max(F.when(F.col("signal") == s, F.col(of)))
-    return wide.groupBy(*keys).agg(F.max("rows").alias("rows"), F.struct(
-        *[pick(s, "hi").alias(f"hi_{s}") for s in SIGNALS], pick("word_length", "lo").alias("lo_word_length")).alias("f"))
-
-
-def fences(bins: DataFrame) -> DataFrame:
-    """One row of thresholds per (language, source), from the finest sketch with enough rows."""
-    own = _fences(_quartiles(bins, ["lang", "source"]), ["lang", "source"])
-    lang = _fences(_quartiles(bins, ["lang"]), ["lang"]).select(
-        F.col("lang").alias("_lang"), F.col("rows").alias("_lang_rows"), F.col("f").alias("_lang_f"))
-    every = _fences(_quartiles(bins.withColumn("_all", F.lit(0)), ["_all"]), ["_all"]).select(F.col("f").alias("_all_f"), "_all")
-    return (
-        own.join(lang, F.col("lang").eqNullSafe(F.col("_lang"))).withColumn("_all", F.lit(0)).join(every, "_all")
-        .select("lang", "source", F.when(F.col("rows") >= GROUP_ROWS, F.col("f"))
-                .when(F.col("_lang_rows") >= GROUP_ROWS, F.col("_lang_f")).otherwise(F.col("_all_f")).alias("f")))
+    pick = lambda s, of: F.max(F.when(F.col("signal") == s, of))
+    return quartiles.groupBy(*keys).agg(F.max("rows").alias("rows"), F.struct(
+        *[pick(s, F.col("q3") + reach).alias(f"hi_{s}") for s in SIGNALS],
+        pick("word_length", F.col("q1") - reach).alias("lo_word_length")).alias("f"))
+
+
+def thresholds(bins: DataFrame) -> DataFrame:
+    """The fences that hold for each (language, source): of the finest sketch with enough rows."""
+    found = materialise(fences(bins))
+    overall = found.filter("level = 0").select("f.*").first()   # one row of five numbers
+    if overall is None:
+        return found.select("lang", "source", "f")
+    own = found.filter("level = 2").select("lang", "source", "rows", "f")
+    lang = found.filter("level = 1").select(F.col("lang").alias("_lang"), F.col("rows").alias("_lang_rows"), F.col("f").alias("_lang_f"))
+    least = F.struct(*[F.lit(overall[c]).alias(c) for c in overall.asDict()])
+    return own.join(lang, F.col("lang").eqNullSafe(F.col("_lang"))).select(
+        "lang", "source", F.when(F.col("rows") >= GROUP_ROWS, F.col("f"))
+        .when(F.col("_lang_rows") >= GROUP_ROWS, F.col("_lang_f")).otherwise(least).alias("f"))
 
 
 def apply_rules(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -139,7 +150,7 @@ def apply_rules(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     Null languages and sources are groups of their own; an empty table gives no rows.
     """
     measured = materialise(measure(spread(docs), keep))
-    limits = fences(materialise(sketch_bins(measured))).select(
+    limits = thresholds(sketch_bins(measured)).select(
         F.col("lang").alias("_l"), F.col("source").alias("_s"), "f")
     joined = measured.join(
         limits, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")), "left")
