@@ -245,6 +245,14 @@ def test_line_dedup(docs, empty):
     assert found.count() == len(ROWS) and line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_with_split_tokens(docs, monkeypatch):
+    """Tokens dealt into blocks and rows looked at in small parts give the same lines."""
+    whole = _by_row(line_dedup.dedup_lines(docs), "doc_id", "text")
+    monkeypatch.setattr(line_dedup, "TOKEN_LINES", 3)
+    monkeypatch.setattr(line_dedup, "MEET_ROWS", 8)
+    assert _by_row(line_dedup.dedup_lines(docs), "doc_id", "text") == whole
+
+
 @pytest.mark.parametrize("size,percent", [(4, 85), (5, 80)])
 def test_ngram_join(docs, empty, size, percent):
     expected = brute.components([(r[0], r[1]) for r in ROWS], size, percent)
