@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from quillgraph.operators.progress import MICROS, STAGES, clamp_events, stage_metrics
 from quillgraph.session import work_dir
 
-STATE = "completed int, total int, latest double, cumulative_us long, samples long"
+STATE = "last_seq long, completed int, total int, latest double, cumulative_us long, samples long"
 SUMS = (
     "job_id string, stage string, completed int, total int, latest_item_seconds double, "
     "cumulative_us long, sample_count long"
@@ -20,15 +20,18 @@ SUMS = (
 
 
 def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    done, total, latest, cumulative, samples = state.get if state.exists else (0, 0, None, 0, 0)
+    last, done, total, latest, cumulative, samples = state.get if state.exists else (None, 0, 0, None, 0, 0)
     rows = pd.concat(list(batches)).sort_values("seq")
+    if last is not None:
+        rows = rows[rows["seq"] > last]
+    last = int(rows["seq"].max()) if len(rows) else last
     for now, of, seconds in zip(rows["completed"], rows["total"], rows["item_seconds"]):
         if seconds > 0:
             latest = float(seconds)
             if now > done:
                 cumulative, samples = cumulative + round(float(seconds) * MICROS), samples + 1
         done, total = int(now), int(of)
-    state.update((done, total, latest, cumulative, samples))
+    state.update((last, done, total, latest, cumulative, samples))
     yield pd.DataFrame([{
         "job_id": key[0], "stage": key[1], "completed": done, "total": total,
         "latest_item_seconds": None if latest is None else round(latest, 2),
@@ -36,7 +39,11 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
 
 
 def stream_stage_progress(events: DataFrame) -> DataFrame:
-    """Updated figures of each (job, stage) whenever new events arrive."""
+    """Updated figures of each (job, stage) whenever new events arrive.
+
+    Events count in order of ``seq``.  One that arrives in a later batch than a higher
+    ``seq`` of its stage is late and does not move the figures back.
+    """
     clean = clamp_events(events.filter(F.col("stage").isin(list(STAGES))))
     sums = clean.groupBy("job_id", "stage").applyInPandasWithState(
         _advance, SUMS, STATE, "update", GroupStateTimeout.NoTimeout)

@@ -12,7 +12,7 @@ def test_decodes_common_encodings(spark):
     cases = {
         "utf8": ("潮汐表".encode(), "潮汐表", "utf-8"),
         "gb": ("潮汐表：每日两次，港口开放。".encode("gb18030"), "潮汐表：每日两次，港口开放。", "gb18030"),
-        "big5": ("三國志 白話文，天下大勢，分久必合。".encode("big5"), "三國志 白話文，天下大勢，分久必合。", "big5"),
+        "big5": ("潮汐表：港口開放，漁船離岸。".encode("big5"), "潮汐表：港口開放，漁船離岸。", "big5"),
         "utf16": (codecs.BOM_UTF16_LE + "潮汐表".encode("utf-16-le"), "潮汐表", "utf-16"),
         "sig": (codecs.BOM_UTF8 + "潮汐表".encode(), "潮汐表", "utf-8-sig"),
         "empty": (b"", "", "utf-8"),
@@ -32,7 +32,12 @@ def test_read_corpus_keeps_supported_files(spark, tmp_path):
     (tmp_path / "plain.TXT").write_bytes("港口 开放".encode("gb18030"))
     (tmp_path / "image.png").write_bytes(b"x")
     rows = {r.doc_id: (r.ext, r.text) for r in corpus.read_texts(spark, str(tmp_path)).collect()}
-    assert rows == {"note.one": (".md", "hello"), "plain": (".txt", "港口 开放")}
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "note.one.md").write_text("again", encoding="utf-8")
+    (tmp_path / "torn.txt").write_bytes(codecs.BOM_UTF16_LE + b"\x41")
+    rows = {r.doc_id: (r.ext, r.text) for r in corpus.read_texts(spark, str(tmp_path)).collect()}
+    assert rows == {"note.one.md": (".md", "hello"), "plain.TXT": (".txt", "港口 开放"),
+                    "sub/note.one.md": (".md", "again"), "torn.txt": (".txt", None)}
 
 
 def test_upload_names(spark):

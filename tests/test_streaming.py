@@ -20,7 +20,7 @@ def test_stream_equals_batch(spark, tmp_path):
     inbox = tmp_path / "in"
     inbox.mkdir()
     kb = KnowledgeBase(spark, str(tmp_path / "kb"))
-    docs = spark.createDataFrame(list(TEXTS.items()), "doc_id string, text string").withColumn("lang", F.lit("en"))
+    docs = spark.createDataFrame([(f"{k}.txt", v) for k, v in TEXTS.items()], "doc_id string, text string").withColumn("lang", F.lit("en"))
     terms = entities.term_gazetteer(docs, min_df=1)
     run = lambda: ingest.stream_ingest(
         spark, str(inbox), kb, str(tmp_path / "ck"), terms, label="en", split=_lines).awaitTermination()
@@ -33,6 +33,18 @@ def test_stream_equals_batch(spark, tmp_path):
     for table, columns in (("chunks", ["doc_id", "bid", "text"]), ("edges", ["doc_id", "source", "target", "weight"])):
         key = lambda df: sorted(map(tuple, df.select(*columns).collect()))
         assert key(kb.load(table)) == key(expected[table]) and kb.load(table).count() > 0
+    refused = {(r.doc_id, r.reject_reason) for r in kb.load("rejected_files").collect()}
+    assert refused == {("one.png", "unsupported_type"), ("two.png", "unsupported_type")}
+
+
+def test_interrupted_save_is_repeated(spark, tmp_path):
+    kb = KnowledgeBase(spark, str(tmp_path / "kb"))
+    status = lambda text: spark.createDataFrame([("d", text)], "doc_id string, state string")
+    kb.save({"status": status("old")})
+    status("torn").write.parquet(str(tmp_path / "kb/status/version=2"))   # written, but never entered
+    assert [r.state for r in kb.load("status").collect()] == ["old"]
+    assert kb.save({"status": status("new")}) == 2
+    assert [r.state for r in kb.load("status").collect()] == ["new"]
 
 
 def test_stream_progress_equals_batch(spark, tmp_path):
