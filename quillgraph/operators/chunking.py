@@ -43,6 +43,11 @@ def normalize_chunk_settings(max_tokens: int | None = None,
     return top, bottom
 
 
+def _check_limits(max_tokens: int, min_tokens: int = 0) -> None:
+    if max_tokens < 1 or not 0 <= min_tokens <= max_tokens:
+        raise ValueError("max_tokens must be at least 1 and min_tokens lie in 0..max_tokens")
+
+
 def _token_array(text: Column, tokenizer: Tokenizer | None) -> Column:
     """Tokens that tile the text: built in, or from a user's Python tokenizer."""
     if tokenizer is None:
@@ -100,6 +105,7 @@ def split_by_tokens(docs: DataFrame, max_tokens: int = DEFAULT_MAX_TOKENS,
                     tokenizer: Tokenizer | None = None, doc_key: str = "doc_id") -> DataFrame:
     """Windows of at most ``max_tokens``, ended after the last sentence mark if
     that leaves at least ``min_tokens``."""
+    _check_limits(max_tokens, min_tokens)
     pieces = bind(_token_array(F.col("text"), tokenizer), lambda toks: F.transform(
         _token_windows(toks, max_tokens, min_tokens, overlap),
         lambda w: F.array_join(F.slice(toks, w.s + 1, w.e - w.s), "")))
@@ -111,6 +117,7 @@ def split_by_separator(docs: DataFrame, sep: str = "</end>", keep: bool = False,
                        max_tokens: int = DEFAULT_MAX_TOKENS,
                        tokenizer: Tokenizer | None = None, doc_key: str = "doc_id") -> DataFrame:
     """Chunks between separators; a chunk over ``max_tokens`` continues in further chunks."""
+    _check_limits(max_tokens)
     parts = F.split(F.col("text"), rf"\Q{sep}\E", -1)
     count = F.size(parts)
     ended = F.transform(
@@ -164,6 +171,7 @@ def split_by_similarity(sentences: DataFrame, threshold: float = 0.80, max_token
     it holds ``min_tokens``, else at its best-ranked punctuation, else at the
     window's end; the window breathes by a fifth with the chunk number.
     """
+    _check_limits(max_tokens, min_tokens)
     key = F.col(doc_key)
     following = sentences.select(
         key.alias("_doc"), (F.col("pos") - 1).alias("_pos"), F.col("embedding").alias("_next"))

@@ -280,17 +280,18 @@ def format_fused(raw: DataFrame, items: str = "items") -> DataFrame:
     )
 
 
-def render_fusion_input(rel: DataFrame, chunks_per_text: int = 4096) -> DataFrame:
-    """Text form of each pair's relations for a fusion model.
+def render_fusion_input(rel: DataFrame, chunks_per_text: int | None = None) -> DataFrame:
+    """Text form of each pair's relations for a fusion model: one text per pair.
 
-    One text covers a range of ``chunks_per_text`` chunks, so a pair named all
-    over a huge document is several texts instead of one unbounded group.
+    A model with a limit on its input asks for parts of ``chunks_per_text`` chunks each;
+    the caller then merges the lists of a pair's parts and fuses them once more.
     """
     line = F.concat(
         F.lit("- "), F.col("relation"), F.lit("（上下文："), F.col("context"),
         F.lit("，权重："), F.col("weight").cast("string"), F.lit("）\n"))
+    part = F.lit(0) if chunks_per_text is None else F.floor(F.col("ordinal") / chunks_per_text)
     grouped = rel.groupBy(
-        "doc_id", *_pair(), F.floor(F.col("ordinal") / chunks_per_text).cast("int").alias("part")
+        "doc_id", *_pair(), part.cast("int").alias("part")
     ).agg(
         F.count("*").alias("n_relations"),
         F.array_sort(F.collect_list(F.struct("ordinal", "rel_idx", line.alias("line")))).alias("_lines"))
