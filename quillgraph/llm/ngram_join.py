@@ -11,8 +11,8 @@ opens a group only if the union can hold enough of its shingles.
 3. The groups compare their own members; leaders of groups cut from one large class are
    compared again.  What is connected so far is one component.
 4. The token-group matrix (shingle, group) of prefix shingles that still lie in
-   several components names the groups that a node may open.  In an opened group the
-   whole union gives the bound, and only if it suffices are the members compared.
+   several components names the groups of larger components that a node may open.  In an
+   opened group the whole union gives the bound, and only if it suffices are the members compared.
 
 Links inside a component cannot change the result and are not looked for, so a class
 of thousands of near copies costs one comparison with its group each, not all pairs.
@@ -136,27 +136,26 @@ def _within(groups: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
 
 def _across(marked: DataFrame, groups: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """(a, b): links between components, found by opening groups through the token-group matrix."""
-    open_tokens = marked.groupBy("token").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).filter("_a <> _b").select("token")
-    rows = materialise(marked.join(open_tokens, "token"))
-    matrix = rows.groupBy("token", "gid").agg(
-        F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.min("comp").alias("c_min"), F.max("comp").alias("c_max"))
-    # The shorter set of a link opens the group of the longer one.
-    may = ((F.col("n_max") >= F.col("n")) & (F.col("n_min") * percent <= 100 * F.col("n"))
-           & ((F.col("c_min") != F.col("comp")) | (F.col("c_max") != F.col("comp"))))
-    asked = materialise(rows.join(matrix.withColumnRenamed("gid", "open"), "token").filter(may).select(
-        "node", F.col("open").alias("gid")).distinct())
+    # Of two components the smaller one's members ask, the larger one's groups are opened.
+    rank = F.struct("comp_size", "comp")
+    ends = marked.groupBy("token").agg(F.min(rank).alias("_lo"), F.max(rank).alias("_hi")).filter("_lo < _hi")
+    rows = materialise(marked.join(ends, "token").withColumns({"asks": rank < F.col("_hi"), "held": rank > F.col("_lo")}).drop("_lo", "_hi"))
+    matrix = rows.filter("held").groupBy("token", F.col("gid").alias("open")).agg(
+        F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.max(rank).alias("top"))
+    may = ((F.col("n_max") * 100 >= F.col("n") * percent) & (F.col("n_min") * percent <= 100 * F.col("n")) & (F.col("top") > rank))
+    asked = materialise(rows.filter("asks").join(matrix, "token").filter(may).select("node", F.col("open").alias("gid")).distinct())
     parts = asked.groupBy("gid").agg(F.ceil(F.count("*") / GROUP_QUERIES).cast("int").alias("parts"))
-    comps = rows.select("node", "comp").distinct()
+    comps = groups.select("node", "comp")
     queries = asked.join(parts, "gid").select(
         "gid", F.pmod(F.xxhash64(F.lit(9), "node"), F.col("parts")).cast("int").alias("part"), "node", F.lit(True).alias("asks"))
     members = groups.join(parts, "gid").select(
         "gid", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "node", F.lit(False).alias("asks"))
-    both = queries.unionByName(members).join(comps, "node", "left").join(texts, "node")
+    both = queries.unionByName(members).join(comps, "node").join(texts, "node")
 
     def search(table: pa.Table) -> pa.Table:
         asks = table.column("asks").to_numpy(zero_copy_only=False).astype(bool)
         ids = table.column("node").to_numpy()
-        comp = np.where(c := table.column("comp").is_null().to_numpy(), ids, table.column("comp").fill_null(0).to_numpy()) if len(ids) else ids
+        comp = table.column("comp").to_numpy()
         sets = _split(as_bytes(table.column("text")), size)
         q, m = np.flatnonzero(asks), np.flatnonzero(~asks)
         out = []
@@ -212,9 +211,11 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
             break
         level = materialise(_grouped(kept.select("node", "low")))
     so_far = connected(links)
-    marked = rows.select("token", "node", "n").join(groups.select("node", "gid"), "node").join(
-        so_far, "node", "left").select("token", "node", "n", "gid", F.coalesce("component", "node").alias("comp"))
-    links = links.unionByName(_across(materialise(marked), groups, texts, size, percent))
+    placed = materialise(groups.select("node", "gid").join(so_far, "node", "left").select(
+        "node", "gid", F.coalesce("component", "node").alias("comp")))
+    sized = placed.join(placed.groupBy("comp").agg(F.count("*").alias("comp_size")), "comp")
+    marked = rows.select("token", "node", "n").join(sized, "node")
+    links = links.unionByName(_across(materialise(marked), placed, texts, size, percent))
 
     # Rows of one document with different sets, and equal sets, belong together.
     own = usable.join(nodes.select("k1", "k2", "node"), ["k1", "k2"])
