@@ -22,14 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from quillgraph.llm.sketches import SEGMENT, Membership, by_segment, gather, merged, pack_offsets, unpack_offsets
-from quillgraph.llm.textkit import Words, as_bytes, mix, slices, spread
+from quillgraph.llm.textkit import Words, as_bytes, mix, partitions, slices, spread
 from quillgraph.session import materialise
 
 WINDOW_WORDS = 35
 ROWS = 2
 MOST_BITS = 1 << 30
 FLUSH = 1 << 20            # windows that a task counts before it sends them on
-SETTLE = 1 << 19           # candidate windows that meet within a task
+SETTLE = 1 << 18           # candidate windows that meet within a task
+ROWS_OUT = 1 << 14         # rows of one Arrow batch to the JVM
 WORD_BYTES = 6             # rough size of a word with its space, for the sketch's width
 
 _U = np.uint64
@@ -92,37 +93,36 @@ def _bitmap(docs: DataFrame, width: int, size: int) -> bytes:
     return gather(repeated_cells(docs, width, size), ROWS * width // SEGMENT + 1, SEGMENT // 8)
 
 
-_HITS = pa.schema([("h1", pa.int64()), ("h2", pa.int32()), ("doc_id", pa.int64()), ("mark", pa.int32()),
-                   ("pos", pa.int32()), ("settled", pa.binary())])
+_HITS = pa.schema([("h1", pa.int64()), ("rest", pa.int64()), ("doc_id", pa.int64()), ("mark", pa.int32()), ("settled", pa.binary())])
 
 
-def _settle(h1, h2, docs, marks, pos) -> pa.RecordBatch:
-    """Rows to send on for one flush of candidate windows.
+def _settle(h1, h2, docs, marks, pos) -> Iterator[pa.RecordBatch]:
+    """Rows to send on for one flush of candidate windows; ``rest`` is h2 and the place plus one.
 
     A window met once goes on with its place; one met more often goes on once, with place
-    -1, and its places come back as one row per document.
+    0, and its places come back as one row per document.  Rows keep the order of the
+    documents, in which neighbours have most in common and compress best.
     """
     order = np.lexsort((h2, h1))
-    h1, h2, docs, marks, pos = (x[order] for x in (h1, h2, docs, marks, pos))
-    new = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
+    new = np.concatenate([[True], (np.diff(h1[order]) != 0) | (np.diff(h2[order]) != 0)])
     first = np.flatnonzero(new)
     many = np.diff(np.append(first, len(h1))) > 1
-    alone, twice = first[~many], first[many]
-    local = np.flatnonzero(many[np.cumsum(new) - 1])
+    alone, twice = np.sort(order[first[~many]]), order[first[many]]
+    local = order[many[np.cumsum(new) - 1]]
     by_doc = local[np.lexsort((pos[local], marks[local], docs[local]))]
-    edge = np.flatnonzero((np.diff(docs[by_doc]) != 0) | (np.diff(marks[by_doc]) != 0)) + 1 if len(by_doc) else np.array([], int)
+    edge = np.flatnonzero((np.diff(docs[by_doc]) != 0) | (np.diff(marks[by_doc]) != 0)) + 1
     groups = np.split(by_doc, edge) if len(by_doc) else []
     heads = np.array([g[0] for g in groups], dtype=np.int64)
-    settled = [None] * (len(alone) + len(twice)) + [pos[g].astype("<i4").tobytes() for g in groups]
-    empty = np.zeros(len(twice), np.int32)
-    as_signed = lambda h: h.view(np.int64)
-    return pa.RecordBatch.from_arrays([
-        pa.array(np.concatenate([as_signed(h1)[alone], as_signed(h1)[twice], docs[heads]])),
-        pa.array(np.concatenate([h2.view(np.int32)[alone], h2.view(np.int32)[twice], np.zeros(len(heads), np.int32)])),
-        pa.array(np.concatenate([docs[alone], empty.astype(np.int64), docs[heads]])),
-        pa.array(np.concatenate([marks[alone], empty, marks[heads]])),
-        pa.array(np.concatenate([pos[alone], np.full(len(twice), -1), np.full(len(heads), -1)]).astype(np.int32)),
-        pa.array(settled, pa.binary())], schema=_HITS)
+    rest = (h2.astype(np.int64) << 32)
+    none = np.zeros(len(twice), np.int64)
+    batch = pa.RecordBatch.from_arrays([
+        pa.array(np.concatenate([h1[alone].view(np.int64), h1[twice].view(np.int64), docs[heads]])),
+        pa.array(np.concatenate([rest[alone] | (pos[alone] + 1), rest[twice], np.zeros(len(heads), np.int64)])),
+        pa.array(np.concatenate([docs[alone], none, docs[heads]])),
+        pa.array(np.concatenate([marks[alone], none.astype(np.int32), marks[heads]])),
+        pa.array([None] * (len(alone) + len(twice)) + [pos[g].astype("<i4").tobytes() for g in groups], pa.binary())], schema=_HITS)
+    for start in range(0, batch.num_rows, ROWS_OUT):
+        yield batch.slice(start, ROWS_OUT)
 
 
 def repeated_places(docs: DataFrame, size: int = WINDOW_WORDS) -> DataFrame:
@@ -150,15 +150,17 @@ def repeated_places(docs: DataFrame, size: int = WINDOW_WORDS) -> DataFrame:
                 held.append((h1[at], h2[at], ids[cut][owner[at]], marks[cut][owner[at]], pos[at]))
                 total += len(at)
                 if total >= SETTLE:
-                    yield _settle(*(np.concatenate(x) for x in zip(*held)))
+                    yield from _settle(*(np.concatenate(x) for x in zip(*held)))
                     held, total = [], 0
         if total:
-            yield _settle(*(np.concatenate(x) for x in zip(*held)))
+            yield from _settle(*(np.concatenate(x) for x in zip(*held)))
 
-    sent = docs.mapInArrow(candidates, "h1 bigint, h2 int, doc_id bigint, mark int, pos int, settled binary")
+    sent = docs.mapInArrow(candidates, "h1 bigint, rest bigint, doc_id bigint, mark int, settled binary")
+    dealt = sent.repartition(partitions(docs), "h1").withColumns({
+        "_h2": F.shiftright("rest", 32), "pos": (F.col("rest").bitwiseAND(F.lit(0xFFFFFFFF)) - 1).cast("int")})
     times = F.when(F.col("settled").isNotNull(), 0).when(F.col("pos") < 0, 2).otherwise(1)
-    total = F.sum(times).over(Window.partitionBy("h1", "h2"))
-    met = sent.withColumn("_total", total).filter(F.col("settled").isNotNull() | ((F.col("_total") > 1) & (F.col("pos") >= 0)))
+    met = dealt.withColumn("_total", F.sum(times).over(Window.partitionBy("h1", "_h2"))).filter(
+        F.col("settled").isNotNull() | ((F.col("_total") > 1) & (F.col("pos") >= 0)))
     return met.select("doc_id", "mark", "pos", "settled")
 
 
