@@ -18,8 +18,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 #: A word as a pattern for Java, Python and RE2 alike.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Text handled at a time in a worker.
-SLICE_BYTES = 1 << 18
+#: Text handled at a time in a worker; its hashes just need powers up to 2**18.
+SLICE_BYTES = (1 << 18) - 64
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -50,12 +50,14 @@ _POWERS: dict[int, np.ndarray] = {}
 
 
 def _powers(multiplier: int, size: int) -> np.ndarray:
-    """Powers of an odd number modulo 2**64; one array per number is kept and grows with demand."""
+    """Powers of an odd number modulo 2**64; those for slices are kept, longer ones made for the call."""
     kept = _POWERS.get(multiplier)
     if kept is None or len(kept) < size:
-        kept = np.full(1 << max(10, int(size - 1).bit_length()), multiplier, dtype=_U)
+        kept = np.full(max(1 << 18, size), multiplier, dtype=_U)
         kept[0] = 1
-        kept = _POWERS[multiplier] = np.multiply.accumulate(kept)
+        kept = np.multiply.accumulate(kept)
+        if size <= 1 << 18:
+            _POWERS[multiplier] = kept
     return kept
 
 
