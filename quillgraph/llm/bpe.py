@@ -156,7 +156,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", into: str = "token_id
         codec = _codec(vocabulary.value)
         return pa.array([codec.encode(t.decode("utf-8", "replace")) if t else b"" for t in as_bytes(texts)], pa.binary())
 
-    return docs.withColumn(into, packed(F.col(text)))
+    # Marked so that the planner does not repeat it inside expressions built on the ids.
+    return docs.withColumn(into, packed.asNondeterministic()(F.col(text)))
 
 
 def decode(tokens: DataFrame, path: str, ids: str = "token_ids", into: str = "decoded") -> DataFrame:
