@@ -51,6 +51,7 @@ class Codec:
         for rank, pair in enumerate(spec["model"]["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
             self.ranks[raw(left), raw(right)] = rank
+        self.byte_ranks = {left + right: rank for (left, right), rank in self.ranks.items() if len(left) == len(right) == 1}
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.added = {text: np.uint32(i).tobytes() for text, i in added.items()}
         self.pieces: list[bytes] = [b""] * (max([*self.ids.values(), *added.values()]) + 1)
@@ -65,7 +66,8 @@ class Codec:
         bounds = list(range(len(word) + 1))
         pair = lambda i: self.ranks.get(
             (word[bounds[i]: bounds[i + 1]], word[bounds[i + 1]: bounds[i + 2]]), _NONE)
-        ranks = [pair(i) for i in range(len(word) - 1)]
+        byte_rank = self.byte_ranks.get
+        ranks = [byte_rank(word[i: i + 2], _NONE) for i in range(len(word) - 1)]
         while ranks and (least := min(ranks)) < _NONE:
             at = ranks.index(least)
             del bounds[at + 1], ranks[at]
