@@ -73,3 +73,8 @@ def materialise(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
     cut = spark.read.schema(df.schema).parquet(path)
     cut._cut_path = path
     return cut
+
+
+def discard(cut: DataFrame) -> None:
+    """Remove the files of a cut that nothing reads any more."""
+    _remove(cut.sparkSession, cut._cut_path)
