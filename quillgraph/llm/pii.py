@@ -20,12 +20,16 @@ from quillgraph.llm.textkit import spread
 ROUNDS = 10
 
 # Formats.  Look-arounds keep a match from starting or ending inside a longer number.
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])"
+EMAIL = r"(?<![A-Za-z0-9_%+])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"
 IPV4 = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\d]|\.\d)"
 DATE = r"(?<![\d/-])(?:(?:19|20)\d\d-\d\d-\d\d|\d\d/\d\d/(?:19|20)\d\d)(?![\d/-])"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
-PHONE = r"(?<![\d+.-])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\d-])"
-CARD = r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])"
+PHONE = r"(?<![\d+])(?<!\d[.-])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d|-\d)"
+#: A whole run of digit groups, in which cards are looked for; it ends before a value that reaches beyond the run.
+CARD = (rf"(?<!\d)\d(?:\d|[ -](?!{EMAIL}|{IPV4}|\d\d/\d\d/(?:19|20)\d\d(?![\d/-])|(?=[\d -]{{3,10}}\.){PHONE})\d){{12,}}+")
+#: What a run may hold beside cards, and how cards are usually written.
+INSIDE = "|".join(f"(?:{p})" for p in (DATE, SSN, PHONE))
+USUAL = r"^[ -]?(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?:\1\d{3})?|\d{4}([ -])\d{6}\2\d{4,5}|\d{4}([ -])\d{3}\3\d{3}\3\d{3})$"
 #: Earlier formats win where two begin at one place.
 KINDS = {"email": EMAIL, "ipv4": IPV4, "date": DATE, "ssn": SSN, "phone": PHONE, "card": CARD}
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
@@ -82,6 +86,59 @@ def luhn_sum(digits: Column, doubled: int) -> Column:
     return F.aggregate(F.transform(F.split(F.reverse(digits), ""), part), F.lit(0), lambda a, d: a + d)
 
 
+def _cards(run: Column, form: Callable[[Column, Column], Column]) -> Column:
+    """Cut a run of digit groups into parts (old, kind); kind is ``card`` for cards and null for the rest.
+
+    Every sub-run of whole groups with 13 to 19 digits, a right check digit and the
+    ``form`` is a card; the leftmost wins, then the longest.
+    """
+    def cut(groups: Column) -> Column:
+        text = lambda at, k: F.array_join(F.slice(groups, at + 1, k), "")
+
+        def is_card(sub: Column) -> Column:
+            return bind(_digits(sub), lambda d: F.length(d).between(13, 19) & form(sub, run) & (luhn_sum(d, 1) % 10 == 0))
+
+        def at_group(_: Column, i: Column) -> Column:
+            sizes = F.sequence(F.lit(1), F.least(F.lit(19), F.size(groups) - i))
+            fits = F.filter(sizes, lambda k: is_card(text(i, k)))
+            return F.struct(i.alias("at"), F.coalesce(F.array_max(fits), F.lit(0)).alias("k"))
+
+        begins = F.filter(F.transform(groups, at_group), lambda c: c["k"] > 0)
+        start = F.struct(F.lit(0).alias("free"), F.slice(begins, 1, 0).alias("taken"))
+        taken = F.aggregate(begins, start, lambda s, c: F.when(c["at"] < s["free"], s).otherwise(
+            F.struct((c["at"] + c["k"]).alias("free"), F.concat(s["taken"], F.array(c)).alias("taken"))), lambda s: s["taken"])
+
+        def parts(cards: Column) -> Column:
+            end = lambda c: F.coalesce(c["at"] + c["k"], F.lit(0))
+            before = lambda i: end(F.get(cards, i - 1))
+            rest = lambda a, b: F.struct(text(a, b - a).alias("old"), F.lit(None).cast("string").alias("kind"))
+            pairs = F.transform(cards, lambda c, i: F.array(
+                rest(before(i), c["at"]), F.struct(text(c["at"], c["k"]).alias("old"), F.lit("card").alias("kind"))))
+            last = F.array(rest(before(F.size(cards)), F.size(groups)))
+            return F.filter(F.concat(F.flatten(pairs), last), lambda p: p["old"] != "")
+
+        return bind(taken, parts)
+
+    return bind(F.regexp_extract_all(run, F.lit(r"[ -]?\d+|[ -]"), F.lit(0)), cut)
+
+
+def _run(run: Column) -> Column:
+    """Parts (old, kind) of a run of digit groups.
+
+    First cards in a usual form or filling the run, then dates, social security and
+    phone numbers in what is left, then cards in any form.
+    """
+    def others(rest: Column) -> Column:
+        found = F.concat(F.regexp_extract_all(rest, F.lit(INSIDE), F.lit(0)), F.array(F.lit("")))
+        pairs = F.zip_with(F.split(rest, INSIDE, -1), found, lambda gap, m: F.concat(
+            _cards(gap, lambda sub, _: F.lit(True)),
+            F.array(F.struct(m.alias("old"), F.when(m != "", kind_of(m)).alias("kind")))))
+        return F.flatten(pairs)
+
+    usual = _cards(run, lambda sub, whole: (sub == whole) | sub.rlike(USUAL))
+    return F.flatten(F.transform(usual, lambda p: F.when(p["kind"].isNull(), others(p["old"])).otherwise(F.array(p))))
+
+
 def _card(text: Column, key: str) -> Column:
     def of(digits: Column) -> Column:
         body = F.substring(digits, F.lit(1), F.length(digits) - 1)
@@ -91,7 +148,7 @@ def _card(text: Column, key: str) -> Column:
         moved = F.lpad(feistel(body.cast("long"), (high, low), key, "card").cast("string"), size, "0")
         return bind(moved, lambda m: _fill(text, F.concat(m, F.pmod(10 - luhn_sum(m, 0) % 10, F.lit(10)).cast("string"))))
 
-    return bind(_digits(text), lambda d: F.when(luhn_sum(d, 1) % 10 == 0, of(d)).otherwise(text))
+    return bind(_digits(text), of)
 
 
 def _number(text: Column, key: str, kind: str, size: int, valid: Callable[[Column], Column] | None = None) -> Column:
@@ -143,12 +200,18 @@ def kind_of(match: Column) -> Column:
     return out.otherwise("card")
 
 
-def pseudonym(match: Column, key: str) -> Column:
-    """Struct of kind and pseudonym; a value that fails its check stays as it is."""
-    return bind(kind_of(match), lambda kind: F.struct(kind.alias("kind"), (
+def parts_of(match: Column) -> Column:
+    """Parts (old, kind) of a match of ``ANY``: itself, or what is found in a run of digits."""
+    return bind(kind_of(match), lambda kind: F.when(kind == "card", _run(match)).otherwise(
+        F.array(F.struct(match.alias("old"), kind.alias("kind")))))
+
+
+def pseudonym(match: Column, kind: Column, key: str) -> Column:
+    """Pseudonym of a value; one that fails its check, or has no kind, stays as it is."""
+    return (
         F.when(kind == "email", _email(match, key)).when(kind == "ipv4", _ipv4(match, key))
         .when(kind == "date", _date(match, key)).when(kind == "ssn", _number(match, key, "ssn", 9, _valid_ssn))
-        .when(kind == "phone", _number(match, key, "phone", 10)).otherwise(_card(match, key))).alias("new")))
+        .when(kind == "phone", _number(match, key, "phone", 10)).when(kind == "card", _card(match, key)).otherwise(match))
 
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -160,11 +223,12 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """
     found = F.when(F.col(text).rlike(r"[0-9@]"), F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0)))
     marked = spread(docs).withColumn("_found", found).withColumn("_swaps", F.when(
-        F.size("_found") > 0, F.transform("_found", lambda m: F.struct(m.alias("old"), pseudonym(m, key).alias("p")))))
+        F.size("_found") > 0, F.transform("_found", lambda m: F.transform(parts_of(m), lambda p: F.struct(
+            p["old"].alias("old"), p["kind"].alias("kind"), pseudonym(p["old"], p["kind"], key).alias("new"))))))
     gaps = F.split(F.col(text), ANY, -1)
-    news = F.concat(F.transform("_swaps", lambda s: s["p"]["new"]), F.array(F.lit("")))
+    news = F.concat(F.transform("_swaps", lambda s: F.array_join(F.transform(s, lambda p: p["new"]), "")), F.array(F.lit("")))
     rebuilt = F.array_join(F.zip_with(gaps, news, lambda g, n: F.concat(g, n)), "")
-    swapped = lambda kind: F.coalesce(F.size(F.filter("_swaps", lambda s: (
-        s["p"]["kind"] == kind) & (s["p"]["new"] != s["old"]))), F.lit(0))
+    swapped = lambda kind: F.coalesce(F.size(F.filter(F.flatten("_swaps"), lambda s: (
+        s["kind"] == kind) & (s["new"] != s["old"]))), F.lit(0))
     counts = {f"n_{kind}": F.greatest(swapped(kind), F.lit(0)).cast("long") for kind in KINDS}
     return marked.withColumns({**counts, text: F.when(F.size("_swaps") > 0, rebuilt).otherwise(F.col(text))}).drop("_found", "_swaps")

@@ -226,6 +226,31 @@ def test_pii(spark, docs, empty):
     assert pii.pseudonymise(docs, "key").count() == len(ROWS) and pii.pseudonymise(empty, "key").count() == 0
 
 
+def test_pii_beside_other_numbers(spark):
+    """Each text holds values that must go, with everything around them kept."""
+    card = "4111 1111 1111 1111"
+    cases = [(f"{card} 12/27", [card]), (f"5 {card}", [card]), ("4785380592391139 2 copies", ["4785380592391139"]),
+             ("mail user@example.com-", ["user@example.com"]), ("a@example.com-b@example.com", ["a@example.com", "b@example.com"]),
+             ("tel.555-123-4567", ["555-123-4567"]), ("tel-555-123-4567-", ["555-123-4567"]), (f"12 34 56 78 {card} 90", [card]),
+             (f"{card} 5500-0000-0000-0004", [card, "5500-0000-0000-0004"]), (f"no-{card}-", [card]),
+             (f"{card} 212-555-0199 123-45-6789", [card, "212-555-0199", "123-45-6789"]), (f"{card} 2024-01-15", [card, "2024-01-15"]),
+             (f"{card} 02/28/1987", [card, "02/28/1987"]), (f"{card} 10.0.0.255", [card, "10.0.0.255"]),
+             (f"{card} 212.555.0199", [card, "212.555.0199"]), (f"{card} 12@example.com", [card, "12@example.com"]),
+             ("7 212-555-0199 212-555-0198", ["212-555-0199", "212-555-0198"]), ("41 11 11 11 11 11 11 11 3", ["41 11 11 11 11 11 11 11"]),
+             ("1 " * 30_000 + card, [card]), ("0123456789" * 10_000, []), ("4111 1111 1111 1112 7", [])]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    new = {r["doc_id"]: r for r in pii.pseudonymise(df, "key").collect()}
+    for i, (text, values) in enumerate(cases):
+        assert not any(v in new[i]["text"] for v in values), new[i]["text"]
+        if i != 18:
+            assert sum(new[i][f"n_{kind}"] for kind in pii.KINDS) == len(values), (text[:80], new[i])
+        if not values:
+            assert new[i]["text"] == text
+    assert new[0]["text"].endswith(" 12/27") and brute.luhn(new[0]["text"][:19].replace(" ", ""))
+    assert new[1]["text"] == "5 " + new[0]["text"][:19] and new[2]["text"].endswith(" 2 copies")
+    assert new[3]["text"].endswith("@example.org-") and new[5]["text"].startswith("tel.")
+
+
 def test_pii_days_are_permuted(spark):
     days = spark.range(pii.DAYS)
     moved = days.select(pii.walk(F.col("id"), lambda v: pii.feistel(v, pii.DAY_HALVES, "k", "date"), lambda v: v < pii.DAYS).alias("d"))
