@@ -1,10 +1,10 @@
 """Document fingerprints: threshold-scaled sketches of word shingles.
 
-A sketch keeps every shingle hash below a fixed fraction of the hash range, so
-sketches of parts merge by union, and a small document can be looked for in a
-much larger one: the share of its kept hashes that the other holds estimates
-containment without bias from the sizes.  The smallest hash is kept as well, so a
-text with words never has an empty sketch.
+A sketch keeps every shingle hash below a fixed fraction of the hash range and the
+``LEAST`` smallest, so sketches of parts merge into that of their union, a short text
+is kept whole, and a small document can be looked for in a much larger one: two
+sketches are compared below the hash up to which both are complete, so the shares
+estimate likeness and containment without bias from the sizes.
 """
 
 from __future__ import annotations
@@ -22,7 +22,9 @@ from quillgraph.llm.textkit import Words, as_bytes, partitions, slices, unique_p
 SHINGLE_WORDS = 5
 
 #: One of so many hashes is kept.
-FRACTION = 8
+FRACTION = 2
+#: So many of the smallest hashes are kept in any case.
+LEAST = 64
 
 
 def sketches(texts: list[bytes | None], size: int = SHINGLE_WORDS, fraction: int = FRACTION) -> list[np.ndarray]:
@@ -34,21 +36,31 @@ def sketches(texts: list[bytes | None], size: int = SHINGLE_WORDS, fraction: int
         hashes, owner = unique_per_owner(hashes, owner)
         count = cut.stop - cut.start
         first = np.searchsorted(owner, np.arange(count))
-        keep = hashes < limit
-        if len(owner):
-            keep[first[first < len(owner)]] = True  # the first of an owner is its smallest
+        keep = (hashes < limit) | (np.arange(len(owner)) - first[owner] < LEAST)  # those of an owner are in order
         hashes, owner = hashes[keep], owner[keep]
         out += np.split(hashes, np.searchsorted(owner, np.arange(1, count)))
     return out
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
-    """Jaccard similarity of two sketches, and the larger containment; empty ones are alike."""
+def _complete(sketch: np.ndarray, fraction: int) -> np.uint64:
+    """The hash up to which a sketch has all hashes of its text."""
+    if len(sketch) < LEAST:
+        return np.uint64((1 << 64) - 1)
+    return max(np.uint64((1 << 64) // fraction - 1), sketch[LEAST - 1])
+
+
+def likeness(a: np.ndarray, b: np.ndarray, fraction: int = FRACTION) -> tuple[float, float]:
+    """Jaccard similarity of two sketches, and the larger containment; empty ones are alike.
+
+    Containment is 0 if the smaller one has no hash below the mark where both are complete.
+    """
     if len(a) == 0 or len(b) == 0:
         same = float(len(a) == len(b))
         return same, same
+    both = min(_complete(a, fraction), _complete(b, fraction))
+    a, b = a[a <= both], b[b <= both]
     shared = len(np.intersect1d(a, b, assume_unique=True))
-    return shared / (len(a) + len(b) - shared), shared / min(len(a), len(b))
+    return shared / max(len(a) + len(b) - shared, 1), shared / max(min(len(a), len(b)), 1)
 
 
 def to_text(sketch: np.ndarray) -> str:
@@ -68,10 +80,13 @@ def fingerprint(docs: DataFrame, text: str = "text", into: str = "fingerprint",
     return docs.withColumn(into, marks(F.col(text)))
 
 
-def merge(fingerprints: list[str]) -> str:
+def merge(fingerprints: list[str], fraction: int = FRACTION) -> str:
     """Sketch of the texts together (shingles across their borders are not in any of them)."""
     each = [np.frombuffer(bytes.fromhex(f), dtype=">u8").astype(np.uint64) for f in fingerprints]
-    return to_text(reduce(np.union1d, each, np.empty(0, np.uint64)))
+    whole = reduce(np.union1d, each, np.empty(0, np.uint64))
+    keep = whole < np.uint64((1 << 64) // fraction)
+    keep[:LEAST] = True
+    return to_text(whole[keep])
 
 
 _FIRST = -(1 << 63)  # a null id comes first
@@ -151,7 +166,7 @@ def edited_pairs(docs: DataFrame, size: int = SHINGLE_WORDS, fraction: int = FRA
             for i, (doc, own, after) in enumerate(pairs):
                 if i + 1 == len(pairs) or pairs[i + 1][1] != after:
                     marks_next[i] = sketches([after.encode()], size, fraction)[0]
-                near, far = likeness(marks[i], marks_edited[i]), likeness(marks[i], marks_next[i])
+                near, far = likeness(marks[i], marks_edited[i], fraction), likeness(marks[i], marks_next[i], fraction)
                 near = (1.0, 1.0) if own == edited[i] else near
                 far = (1.0, 1.0) if own == after else far
                 rows.append((doc, len(own), hashlib.sha256(edited[i].encode()).hexdigest(), to_text(marks[i]),

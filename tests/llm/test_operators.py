@@ -121,6 +121,23 @@ def test_fingerprints(docs, empty):
     assert [r["near_next"] for r in fingerprints.edited_pairs(one).collect()] == [1.0]
 
 
+def test_sketches_tell_the_true_likeness(spark):
+    rng = random.Random(5)
+    shingles = lambda t: {tuple(t.split()[i:i + 5]) for i in range(max(len(t.split()) - 4, 1))}
+    texts = [_sentence(rng, n) for n in [10, 12, 30, 45, 60] * 4 + [800, 3000]]
+    found = fingerprints.edited_pairs(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in found:
+        own, after = texts[r["doc_id"]], texts[(r["doc_id"] + 1) % len(texts)]
+        half = len(own) // 2
+        a, b = shingles(own), shingles(own[: len(own) - half] + after[:half])
+        assert abs(r["near_edited"] - len(a & b) / len(a | b)) < (1e-9 if len(a | b) < 60 else 0.06)
+    parts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(8)) for _ in range(60)]
+    merged = fingerprints.merge([fingerprints.to_text(x) for x in fingerprints.sketches([p.encode() for p in parts])])
+    every = np.unique(np.concatenate(fingerprints.sketches([p.encode() for p in parts])))
+    below = every[(every < np.uint64((1 << 64) // fingerprints.FRACTION)) | (np.arange(len(every)) < 64)]
+    assert merged == fingerprints.to_text(below) and len(below) < len(every)
+
+
 def test_sketches_merge_and_contain():
     rng = random.Random(2)
     part, rest = _sentence(rng, 400), _sentence(rng, 6000)
