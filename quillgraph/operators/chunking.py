@@ -187,13 +187,15 @@ def split_by_similarity(sentences: DataFrame, threshold: float = 0.80, max_token
     )
     docs = scored.groupBy(doc_key).agg(F.array_sort(F.collect_list("_s")).alias("_all"))
     state = F.struct(
-        F.lit(0).alias("start"), F.lit(0).alias("used"),
+        F.lit(0).alias("start"), F.lit(0).alias("used"), F.lit(0).alias("full"),
         F.array().cast("array<struct<s:int,e:int>>").alias("spans"))
 
-    def step(rows: Column, total: Column, acc: Column) -> Column:
+    def step(rows: Column, total: Column, full: Column, acc: Column) -> Column:
         number = F.size(acc.spans) + 1
         limit = F.floor(max_tokens * (1 + 0.2 * (number % 3 - 1))).cast("int")
-        ahead = F.slice(rows, acc.start + 1, F.lit(int(max_tokens * 1.2)))
+        # Up to the sentence that passes the limit at the latest; those without tokens do not count.
+        reach = F.coalesce(F.get(full, acc.full + int(max_tokens * 1.2)), F.size(rows))
+        ahead = F.slice(rows, acc.start + 1, reach - acc.start)
         # Walk the window once: tokens so far, last fitting place, first break, best mark.
         seed = F.struct(
             F.lit(0).alias("i"), F.lit(0).alias("sum"), F.lit(0).alias("fit"), F.lit(0).alias("brk"),
@@ -220,14 +222,18 @@ def split_by_similarity(sentences: DataFrame, threshold: float = 0.80, max_token
             e.alias("start"),
             (acc.used + F.aggregate(
                 F.slice(rows, acc.start + 1, e - acc.start), F.lit(0), lambda a, s: a + s.n)).alias("used"),
+            (acc.full + F.size(F.filter(
+                F.slice(rows, acc.start + 1, e - acc.start), lambda s: s.n > 0))).alias("full"),
             F.array_append(acc.spans, F.struct(acc.start.alias("s"), e.alias("e"))).alias("spans")))
         return F.when(acc.start >= last, acc).otherwise(grown)
 
+    # Places of the sentences that have tokens.
+    places = lambda rows: F.filter(F.transform(rows, lambda s, i: F.when(s.n > 0, i)), lambda i: i.isNotNull())
     spans = bind(F.col("_all"), lambda rows: bind(
         F.aggregate(rows, F.lit(0), lambda a, s: a + s.n),
-        lambda total: F.aggregate(
+        lambda total: bind(places(rows), lambda full: F.aggregate(
             F.sequence(F.lit(0), F.size(rows)), state,
-            lambda acc, _: step(rows, total, acc), lambda s: s.spans)))
+            lambda acc, _: step(rows, total, full, acc), lambda s: s.spans))))
     return (
         docs.withColumn("_spans", spans)
         .transform(explode_indexed, "_spans", "_i", "_w")

@@ -230,6 +230,16 @@ def test_similarity_chunks(spark):
     assert [r.text for r in got] == ["a. b. ", "c. d, e. "]
 
 
+def test_similarity_chunks_pass_over_empty_sentences(spark):
+    blank, near = [("", 0)] * 40, [1.0, 0.0]
+    parts = [("a. ", 5), *blank, ("b. ", 5), *blank, ("c. ", 5), *blank, ("d. ", 20)]
+    df = spark.createDataFrame(
+        [("d", i, text, n, near) for i, (text, n) in enumerate(parts)],
+        "doc_id string, pos int, text string, n_tokens int, embedding array<double>")
+    got = chunking.split_by_similarity(df, 0.8, max_tokens=20, min_tokens=8).orderBy("ordinal").collect()
+    assert [r.text for r in got] == ["a. b. c. ", "d. "] and sum(r.n_sentences for r in got) == len(parts)
+
+
 def test_protected_tags(spark):
     raw = "x<table a=1>1\n2</table>y<code>c</code>z<img src=q>w"
     df = spark.createDataFrame([("d", raw)], "doc_id string, text string")
