@@ -21,6 +21,7 @@ from quillgraph.llm.textkit import Words, _byte_table, as_bytes, run_hashes, sli
 #: Labelled documents that the model is fitted on, at most, and the longest (bytes) among them.
 SAMPLE_ROWS = 4000
 SAMPLE_BYTES = 200_000
+SAMPLE_LINES = 500_000
 
 #: The score from which label 1 is predicted, and the held-out fold.
 CUT = 0.3
@@ -167,17 +168,31 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES, seed: int = 3) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES, seed: int = 3,
+        most_lines: int = SAMPLE_LINES) -> Model:
     """Fit on at most ``rows`` labelled documents outside the held-out fold, the first by a seeded hash.
 
     Labels that are null or of unknown documents are left out; of several labels of one
-    document the smallest counts.  Documents above ``most_bytes`` are not learnt from, so
+    document the smallest counts, of several texts one.  Documents above ``most_bytes``
+    are not learnt from, nor what lies beyond the first ``most_lines`` lines of all, so
     what reaches the driver is bounded.  Without any label every text scores one half.
     """
-    chosen = (
+    labelled = (
         labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != HELD_OUT))
-        .groupBy("doc_id").agg(F.min("quality").cast("int").alias("_label"))
-        .orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(rows))
+        .groupBy("doc_id").agg(F.min("quality").cast("int").alias("_label")))
+    body = F.coalesce("text", F.lit(""))
+    usable = docs.select(
+        "doc_id", "text", F.xxhash64(body).alias("_hash"),
+        (F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("_lines"),
+    ).filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= most_bytes)
+    first = (
+        usable.select("doc_id", "_hash", "_lines").join(labelled, "doc_id").groupBy("doc_id", "_label")
+        .agg(F.min(F.struct("_hash", "_lines")).alias("_t")).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(rows)
+        .select("doc_id", "_label", "_t.*")).collect()
+    ends = np.cumsum([r["_lines"] for r in first])
+    chosen = docs.sparkSession.createDataFrame(
+        [(r["doc_id"], r["_label"], r["_hash"]) for r, end in zip(first, ends) if end <= most_lines],
+        "doc_id bigint, _label int, _hash bigint")
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_bytes:
                 out.append(features.astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_label"), pa.array(out, pa.binary())], names=["doc_id", "label", "features"])
 
-    sample = docs.select("doc_id", "text").filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= most_bytes).join(F.broadcast(chosen), "doc_id")
+    sample = usable.join(F.broadcast(chosen), ["doc_id", "_hash"]).groupBy("doc_id", "_label").agg(F.min("text").alias("text"))
     found = sample.mapInArrow(measured, "doc_id bigint, label int, features binary").collect()
     found = sorted(found, key=lambda r: (r["doc_id"], r["features"]))
     width = line_features([b""])[0].shape[1]

@@ -121,6 +121,21 @@ def test_fingerprints(docs, empty):
     assert [r["near_next"] for r in fingerprints.edited_pairs(one).collect()] == [1.0]
 
 
+def test_line_crf_sample_is_bounded(spark, monkeypatch):
+    """Repeated rows count once, unusable labels take no place, and lines are bounded over all."""
+    seen = []
+    monkeypatch.setattr(line_crf, "train", lambda features, counts, labels: seen.append(list(counts)) or line_crf.Model(
+        np.zeros(1), np.ones(1), np.zeros(2), 0.0))
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(i, f"text {i}\nof lines") for i in ids[:10]] + [(ids[0], f"text {ids[0]}\nof lines")] * 50 + [(ids[1], f"other {k}") for k in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
+    line_crf.fit(df, labels, rows=10)
+    line_crf.fit(df, labels, rows=10, most_lines=7)
+    assert len(seen[0]) == 10 and sum(seen[0]) <= 20
+    assert 5 <= sum(seen[1]) <= 7
+
+
 def test_sketches_tell_the_true_likeness(spark):
     rng = random.Random(5)
     shingles = lambda t: {tuple(t.split()[i:i + 5]) for i in range(max(len(t.split()) - 4, 1))}
