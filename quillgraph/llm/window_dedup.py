@@ -93,7 +93,7 @@ def _bitmap(docs: DataFrame, width: int, size: int) -> bytes:
     return gather(repeated_cells(docs, width, size), ROWS * width // SEGMENT + 1, SEGMENT // 8)
 
 
-_HITS = pa.schema([("h1", pa.int64()), ("rest", pa.int64()), ("doc_id", pa.int64()), ("mark", pa.int32()), ("settled", pa.binary())])
+_HITS = pa.schema([("h1", pa.int64()), ("rest", pa.int64()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("settled", pa.binary())])
 
 
 def _settle(h1, h2, docs, marks, pos) -> Iterator[pa.RecordBatch]:
@@ -119,7 +119,7 @@ def _settle(h1, h2, docs, marks, pos) -> Iterator[pa.RecordBatch]:
         pa.array(np.concatenate([h1[alone].view(np.int64), h1[twice].view(np.int64), docs[heads]])),
         pa.array(np.concatenate([rest[alone] | (pos[alone] + 1), rest[twice], np.zeros(len(heads), np.int64)])),
         pa.array(np.concatenate([docs[alone], none, docs[heads]])),
-        pa.array(np.concatenate([marks[alone], none.astype(np.int32), marks[heads]])),
+        pa.array(np.concatenate([marks[alone], none, marks[heads]])),
         pa.array([None] * (len(alone) + len(twice)) + [pos[g].astype("<i4").tobytes() for g in groups], pa.binary())], schema=_HITS)
     for start in range(0, batch.num_rows, ROWS_OUT):
         yield batch.slice(start, ROWS_OUT)
@@ -155,7 +155,7 @@ def repeated_places(docs: DataFrame, size: int = WINDOW_WORDS) -> DataFrame:
         if total:
             yield from _settle(*(np.concatenate(x) for x in zip(*held)))
 
-    sent = docs.mapInArrow(candidates, "h1 bigint, rest bigint, doc_id bigint, mark int, settled binary")
+    sent = docs.mapInArrow(candidates, "h1 bigint, rest bigint, doc_id bigint, mark bigint, settled binary")
     dealt = sent.repartition(partitions(docs), "h1").withColumns({
         "_h2": F.shiftright("rest", 32), "pos": (F.col("rest").bitwiseAND(F.lit(0xFFFFFFFF)) - 1).cast("int")})
     times = F.when(F.col("settled").isNotNull(), 0).when(F.col("pos") < 0, 2).otherwise(1)
@@ -173,7 +173,7 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW_WORDS) -> DataFrame:
     left out.
     """
     docs = spread(docs.select("doc_id", "text")).withColumns({
-        "mark": F.hash(F.coalesce("text", F.lit("")), F.col("doc_id").isNull()), "_id": F.coalesce("doc_id", F.lit(0))})
+        "mark": F.xxhash64(F.coalesce("text", F.lit("")), F.col("doc_id").isNull()), "_id": F.coalesce("doc_id", F.lit(0))})
     found = materialise(repeated_places(docs, size).groupBy(F.col("doc_id").alias("_id"), "mark").agg(
         F.collect_list(F.when(F.col("pos") >= 0, F.col("pos"))).alias("single"),
         F.collect_list("settled").alias("settled")))

@@ -352,6 +352,17 @@ def test_window_dedup(docs, empty, size):
     assert window_dedup.remove_repeats(empty).count() == 0
 
 
+def test_window_dedup_tells_texts_without_id_apart(spark):
+    """Two texts without id whose 32-bit hashes are equal; only one of them has a copy."""
+    text = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(11)), lambda j: F.concat(F.lit("w"), F.col("id") * 12 + j)), " ")
+    alike = spark.range(400_000).select(text.alias("text")).groupBy(F.hash("text", F.lit(True))).agg(
+        F.min("text").alias("a"), F.max("text").alias("b")).filter("a < b").first()
+    df = spark.createDataFrame([(None, alike["a"]), (None, alike["b"]), (1, alike["a"])], "doc_id long, text string")
+    found = window_dedup.remove_repeats(df, 10).collect()
+    assert sorted((r["doc_id"] is None, r["n_removed"], r["text"]) for r in found) == [
+        (False, 12, ""), (True, 0, alike["b"]), (True, 12, "")]
+
+
 def test_window_dedup_with_a_full_sketch(docs, monkeypatch):
     """A sketch far too small only sends more windows on; flushes of few windows meet in the exact grouping."""
     monkeypatch.setattr(window_dedup, "MOST_BITS", 64)
