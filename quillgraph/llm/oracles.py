@@ -81,7 +81,31 @@ _WINDOW_DEDUP = f"""
     SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
     FROM ws LEFT JOIN kept USING (doc_id)"""
 
+_CRC_BYTE = "list_reduce(list_prepend(xor(c, b), [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda a, z: xor(a >> 1, 3988292384::UBIGINT * (a & 1)))"
+_CRC = (f"xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::UBIGINT)), "
+        f"lambda c, b: {_CRC_BYTE}), 4294967295::UBIGINT)")
+
+_PREFIX_TRIE = f"""
+    WITH t AS (SELECT conv_id, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS h,
+                      strlen(coalesce(text, '')) AS size FROM conversations WHERE conv_id IS NOT NULL),
+    own AS MATERIALIZED (SELECT conv_id, list({{'h': h, 'size': size}} ORDER BY turn NULLS FIRST) AS turns FROM t GROUP BY conv_id),
+    hs AS (SELECT conv_id, turns, ({_CRC} % 9)::BIGINT AS h FROM own),
+    built AS MATERIALIZED (SELECT a.conv_id, list_concat(list_slice(coalesce(b.turns, []), 1, a.h), list_slice(a.turns, a.h + 1, len(a.turns))) AS turns
+        FROM hs a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 5),
+    steps AS (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS depth FROM built),
+    pre AS MATERIALIZED (SELECT conv_id, depth, depth = len(turns) AS ends, coalesce(turns[depth].size, 0) AS size,
+        list_transform(range(0, depth + 1), lambda d: md5(array_to_string(list_transform(turns[1:d], lambda x: x.h), ''))) AS way FROM steps),
+    nodes AS MATERIALIZED (SELECT way[depth + 1] AS node, any_value(way[depth]) AS parent, any_value(way) AS way, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM pre GROUP BY way[depth + 1], depth),
+    kids AS MATERIALIZED (SELECT parent AS node, depth - 1 AS depth, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+    up AS (SELECT unnest(way) AS node, unnest(range(0, n.depth + 1)) AS depth, (k.n_children IS NULL)::INT AS leaf, (n_convs - 1) * size AS saved
+        FROM nodes n LEFT JOIN kids k USING (node, depth)),
+    below AS (SELECT node, depth, sum(leaf)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM up GROUP BY ALL)
+    SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children, n_leaves, saved_tokens, n.ends_sha256
+    FROM nodes n JOIN below USING (node, depth) LEFT JOIN kids k USING (node, depth) LEFT JOIN nodes p ON p.node = n.parent AND p.depth = n.depth - 1"""
+
 ORACLES = {
+    "op12_prefix_trie": _PREFIX_TRIE,
     "op3_quality_rules": _quality_rules(),
     "op8_ngram_join": _NGRAM_JOIN,
     "op9_window_dedup": _WINDOW_DEDUP,

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quillgraph.llm import (
-    bpe, fingerprints, line_crf, line_dedup, mixing, ngram_join, pii, quality_rules, secret_scan, window_dedup)
+    bpe, fingerprints, line_crf, line_dedup, mixing, ngram_join, pii, prefix_trie, quality_rules, secret_scan,
+    window_dedup)
 from quillgraph.llm.oracles import ORACLES as ORACLES
 from quillgraph.llm.textkit import spread
 from quillgraph.session import tune
@@ -100,3 +101,8 @@ def op10(read) -> DataFrame:
     return line_crf.score(docs, model).select(
         "doc_id", (line_crf.fold(F.col("doc_id")) == line_crf.HELD_OUT).alias("held_out"), "score",
         (F.col("score") >= line_crf.CUT).cast("int").alias("predicted"))
+
+
+@query("op12_prefix_trie")
+def op12(read) -> DataFrame:
+    return prefix_trie.prefix_nodes(read("conversations"))
