@@ -9,12 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quillgraph.llm import (
     bpe, fingerprints, line_crf, line_dedup, mixing, ngram_join, pii, prefix_trie, quality_rules, secret_scan,
-    window_dedup)
+    token_alignment, window_dedup)
 from quillgraph.llm.oracles import ORACLES as ORACLES
 from quillgraph.llm.textkit import spread
 from quillgraph.session import tune
 
 VOCABULARY = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 PII_KEY = "demonstration key; a production run reads its own from a secret store"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +107,10 @@ def op10(read) -> DataFrame:
 @query("op12_prefix_trie")
 def op12(read) -> DataFrame:
     return prefix_trie.prefix_nodes(read("conversations"))
+
+
+@query("op13_token_alignment")
+def op13(read) -> DataFrame:
+    aligned = token_alignment.align(
+        read("documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.path(PIECES), groups="sha256")
+    return aligned.withColumnRenamed("groups", "groups_sha256")
