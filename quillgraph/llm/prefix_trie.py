@@ -54,7 +54,7 @@ def rebuilt(conversations: DataFrame) -> DataFrame:
 
     Turns are ordered by turn, null first; equal turns by their id.  Rows without conv_id belong
     to no conversation and are left out; a repeated row is one more turn.  A conversation is
-    one row.
+    one row.  The remainder of a negative conv_id is negative, as in SQL.
     """
     base = F.col("conv_id") - F.col("conv_id") % FAMILY
     turns = conversations.filter("conv_id is not null").select(

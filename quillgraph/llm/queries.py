@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quillgraph.llm import (
-    bpe, fingerprints, line_crf, line_dedup, mixing, ngram_join, pii, prefix_trie, quality_rules, secret_scan,
+    bpe, class_lm, fingerprints, line_crf, line_dedup, mixing, ngram_join, pii, prefix_trie, quality_rules, secret_scan,
     token_alignment, window_dedup)
 from quillgraph.llm.oracles import ORACLES as ORACLES
 from quillgraph.llm.textkit import spread
@@ -104,6 +104,12 @@ def op10(read) -> DataFrame:
         (F.col("score") >= line_crf.CUT).cast("int").alias("predicted"))
 
 
+@query("op11_class_lm")
+def op11(read) -> DataFrame:
+    docs = read("documents").select("doc_id", "text")
+    return class_lm.score(docs, class_lm.fit(docs.filter(~class_lm.held_out(F.col("doc_id")))))
+
+
 @query("op12_prefix_trie")
 def op12(read) -> DataFrame:
     return prefix_trie.prefix_nodes(read("conversations"))

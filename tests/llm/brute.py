@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
-from collections import Counter
+import zlib
+from collections import Counter, defaultdict
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -116,3 +118,47 @@ def luhn(digits):
         d = int(c) * (1 + i % 2)
         total += d - 9 if d > 9 else d
     return total % 10 == 0
+
+
+def trie(rows):
+    """Nodes of the rebuilt conversations of rows (conv_id, turn, role, text), as tuples in the operator's order of columns."""
+    turns = defaultdict(list)
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            turns[conv].append((turn is not None, turn or 0, role or "", text or ""))
+    turns = {c: [t[2:] for t in sorted(v, key=lambda t: t[:2])] for c, v in turns.items()}
+    built = {}
+    for conv, own in turns.items():
+        h = zlib.crc32(str(conv).encode()) % 9
+        built[conv] = tuple(turns.get(conv - int(math.fmod(conv, 5)), [])[:h] + own[h:])
+    members, children = defaultdict(set), defaultdict(set)
+    for conv, way in built.items():
+        for d in range(len(way) + 1):
+            members[way[:d]].add(conv)
+            if d:
+                children[way[: d - 1]].add(way[:d])
+    out, below = set(), {}
+    for way in sorted(members, key=len, reverse=True):
+        size = len(way[-1][1].encode()) if way else 0
+        below[way] = (sum(below[k][0] for k in children[way]) or 1,
+                      (len(members[way]) - 1) * size + sum(below[k][1] for k in children[way]))
+        ends = ",".join(str(c) for c in sorted(members[way]) if built[c] == way)
+        out.add((min(members[way]), len(way), min(members[way[:-1]]) if way else None, len(members[way]), len(children[way]), *below[way], sha(ends)))
+    return out
+
+
+def overlaps(a, b):
+    """Groups and links of two tokenizations of the same bytes, each a list of (id, bytes)."""
+    def ranges(tokens):
+        at = 0
+        for i, token in tokens:
+            yield i, at, at + len(token)
+            at += len(token)
+
+    a, b = list(ranges(a)), list(ranges(b))
+    links = [(i, j) for i, s, e in a for j, t, f in b if s < f and t < e]
+    groups, low = [], 0
+    for cut in sorted({e for _, _, e in a} & {f for _, _, f in b}):
+        groups.append("|".join(",".join(str(i) for i, _, e in side if low < e <= cut) for side in (a, b)))
+        low = cut
+    return groups, links
