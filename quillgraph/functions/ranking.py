@@ -11,7 +11,7 @@ from quillgraph.functions.arrays import bind
 from quillgraph.functions.text import WS
 
 # Characters ignored when names are compared.
-IGNORED = WS[:-1] + r""".,，。！？!?、:：;；'"“”‘’()\[\]{}<>《》【】_+*/\\|@#$%^&=~`·-]+"""
+IGNORED = r"""[\s\x0B\x1C-\x1F\x85\p{Z}.,，。！？!?、:：;；'"“”‘’()\[\]{}<>《》【】_+*/\\|@#$%^&=~`·-]+"""
 # Outside these characters compatibility normalisation may change the text.
 STABLE = r"[^\x00-\x7F\xC0-\xFF]"
 

@@ -1,14 +1,21 @@
 """Graph edits, their validation, and versions of graphs and documents.
 
-Edits are applied in rounds: round k takes the k-th edit of every document, so
-all documents advance together and one document's edits keep their order.
+A document's log of edits is composed into one effect before the graph is touched, so
+labels and relations are rewritten once, whatever the length of the log.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import hashlib
+import heapq
+import json
+import re
+from collections.abc import Iterator
 
-from quillgraph.functions.text import UNKNOWN_LABEL, digest_id, json_string, strip
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+from quillgraph.functions.text import UNKNOWN_LABEL, strip
 from quillgraph.operators.entities import ORDER_STRIDE
 from quillgraph.operators.graph import MANUAL_ORIGIN, with_edge_ids
 from quillgraph.session import materialise
@@ -97,96 +104,273 @@ def check_revision(mutations: DataFrame, versions: DataFrame) -> DataFrame:
         "stale", F.col("revision").isNotNull() & (F.col("revision") != F.coalesce("_latest", F.lit(0)))).drop("_latest")
 
 
-NODE_EDITS = {"update_node", "delete_node"}
-EDGE_EDITS = {"update_edge", "delete_edge"}
+# -- applying a log of edits ----------------------------------------------------
 
+_EDIT_TEXTS = ("node_id", "name", "entity_type", "edge_id", "source", "target", "relation", "context")
+_CHECKED = ("seq", "operation", "node_id", "new_name", "label", "edge_id", "source", "target", "relation", "context", "weight", "reject_reason")
+_EDGE_TEXTS = ("source", "target", "relation", "context")
 
-def _edit_labels(labels: DataFrame, valid: DataFrame, ops: set[str]) -> DataFrame:
-    """Labels after one round of node edits."""
-    if ops & NODE_EDITS:
-        hits = valid.filter(F.col("operation").isin(*NODE_EDITS)).select(
-            "doc_id", F.col("node_id").alias("name"), F.col("new_name").alias("_to"),
-            F.col("label").alias("_label"), F.col("operation").alias("_op"))
-        labels = labels.join(hits, ["doc_id", "name"], "left").filter(
-            F.coalesce(F.col("_op") != "delete_node", F.lit(True))
-        ).select("doc_id", F.coalesce("_to", "name").alias("name"), F.coalesce("_label", "label").alias("label"), "first_pos")
-    if "add_node" in ops:
-        place = F.lit(MANUAL_ORDINAL * ORDER_STRIDE) + F.col("seq")
-        labels = labels.unionByName(valid.filter(F.col("operation") == "add_node").select(
-            "doc_id", F.col("new_name").alias("name"), "label", place.alias("first_pos")))
-    return labels
 
+def _json_text(value: str) -> str:
+    """A JSON string as the engine's own digests write it."""
+    return re.sub(r"\\u00[0-9a-f]{2}", lambda m: m[0][:4] + m[0][4:].upper(), json.dumps(value, ensure_ascii=False))
 
-def _edit_relations(rel: DataFrame, valid: DataFrame, ops: set[str]) -> DataFrame:
-    """Relations after one round: renamed ends, cascaded deletes, edited and new edges."""
-    columns = ["doc_id", "bid", "ordinal", "rel_idx", "source", "target", "relation", "context", "weight", "origin", "edit_id"]
-    base = with_edge_ids(rel)
-    if ops & NODE_EDITS:
-        hits = valid.filter(F.col("operation").isin(*NODE_EDITS))
+
+class _Names:
+    """Where the names of relation ends have got to: a rename moves all names that are at its start."""
+
+    def __init__(self) -> None:
+        self.now: dict[str, str | None] = {}
+        self.here: dict[str, set[str]] = {}
+
+    def move(self, old: str, new: str | None) -> None:
+        group = self._at(old)
+        self.here[old] = set()
+        for name in group:
+            self.now[name] = new
+        if new is not None:
+            other = self._at(new)
+            small, large = sorted((group, other), key=len)
+            large |= small
+            self.here[new] = large
+
+    def _at(self, name: str) -> set[str]:
+        if name not in self.here:
+            self.here[name] = set() if name in self.now else {name}
+        return self.here[name]
+
+
+class _DocumentLog:
+    """One document's edits in order, over the names and edges that they refer to.
+
+    The whole log becomes one effect: where every name has got to, the nodes that changed,
+    and the edges that are new, changed or gone.
+    """
+
+    def __init__(self) -> None:
+        self.nodes: dict[str, list] = {}      # name now -> [first name or None, label, seq of its edit]
+        self.lost: list[str] = []             # first names of deleted nodes
+        self.removed: list[str] = []          # stored edges that are gone
+        self.edges: dict[str, dict] = {}
+        self.at_end: dict[str, set[str]] = {}
+        self.names = _Names()
+        self.manual = 0                       # rows of the block of manual edges, and their highest number
+        self.numbers: list[tuple[int, str]] = []
+        self.rejected: list[dict] = []
+
+    def know_node(self, row: dict) -> None:
+        self.nodes[row["node_id"]] = [row["node_id"], row["label"], None]
+
+    def know_edge(self, row: dict) -> None:
+        key = row["edge_id"]
+        if key in self.edges:
+            self.edges[key]["copies"] += 1
+            self.edges[key]["rel_idx"] = max(self.edges[key]["rel_idx"], row["rel_idx"])
+        else:
+            self.edges[key] = {c: row[c] for c in (*_EDGE_TEXTS, "weight", "rel_idx", "manual")} | {"copies": 1, "new": False}
+            self._link(key)
+        if row["manual"]:
+            self.manual += 1
+            heapq.heappush(self.numbers, (-row["rel_idx"], key))
+
+    def _link(self, key: str) -> None:
         for end in ("source", "target"):
-            base = base.join(hits.select(
-                "doc_id", F.col("node_id").alias(end), F.col("new_name").alias("_to"), F.col("operation").alias("_op")
-            ), ["doc_id", end], "left").filter(
-                F.coalesce(F.col("_op") != "delete_node", F.lit(True))
-            ).withColumn(end, F.coalesce("_to", end)).drop("_to", "_op")
-    if ops & EDGE_EDITS:
-        fields = ("source", "target", "relation", "context", "weight")
-        edits = valid.filter(F.col("operation").isin(*EDGE_EDITS)).select(
-            "doc_id", F.col("edge_id").alias("edit_id"), F.col("operation").alias("_op"), F.struct(*fields).alias("_new"))
-        base = base.join(edits, ["doc_id", "edit_id"], "left").filter(
-            F.coalesce(F.col("_op") != "delete_edge", F.lit(True))
-        ).withColumns({c: F.coalesce(F.col(f"_new.{c}"), F.col(c)) for c in fields})
-    base = base.select(*columns)
-    if "add_edge" in ops:
-        manual = base.filter(F.col("bid") == MANUAL_BLOCK).groupBy("doc_id").agg(
-            F.count("*").alias("_count"), F.max("rel_idx").alias("_last"))
-        count = F.coalesce("_count", F.lit(0).cast("long"))
-        base = base.unionByName(valid.filter(F.col("operation") == "add_edge").join(manual, "doc_id", "left").select(
-            "doc_id", F.lit(MANUAL_BLOCK).alias("bid"), F.lit(MANUAL_ORDINAL).alias("ordinal"),
-            (F.coalesce("_last", F.lit(-1)) + 1).cast("int").alias("rel_idx"),
-            "source", "target", "relation", "context", "weight", F.lit(MANUAL_ORIGIN).alias("origin"),
-            digest_id("edge", source=json_string(F.col("source")), target=json_string(F.col("target")),
-                      relation=json_string(F.col("relation")), context=json_string(F.col("context")),
-                      count=count.cast("string")).alias("edit_id")))
-    return base
-
-
-def apply_round(labels: DataFrame, rel: DataFrame, valid: DataFrame,
-                ops: set[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Apply at most one validated edit per document; ``ops`` names the kinds present."""
-    present = set(OPERATION_LABELS) if ops is None else ops
-    return _edit_labels(labels, valid, present), _edit_relations(rel, valid, present)
+            self.at_end.setdefault(self.edges[key][end], set()).add(key)
+
+    def _unlink(self, key: str) -> None:
+        for end in ("source", "target"):
+            self.at_end.get(self.edges[key][end], set()).discard(key)
+
+    def _drop(self, key: str) -> None:
+        self._unlink(key)
+        edge = self.edges[key]
+        self.manual -= edge["copies"] * edge["manual"]
+        if not edge["new"]:
+            self.removed.append(key)
+        del self.edges[key]
+
+    def _last_number(self) -> int:
+        while self.numbers and self.numbers[0][1] not in self.edges:
+            heapq.heappop(self.numbers)
+        return -self.numbers[0][0] if self.numbers else -1
+
+    def filled(self, edit: dict) -> dict:
+        """The edit with what it leaves open taken from the node or edge that it names."""
+        node, edge = self.nodes.get(edit["node_id"]), self.edges.get(edit["edge_id"], {})
+        given = lambda name: edit[name] if edit[name] is not None else edge.get(name)
+        out = {c: edit[c] for c in ("seq", "operation", "node_id", "edge_id")} | {c: given(c) for c in ("source", "target", "relation")}
+        context, weight = given("context"), given("weight")
+        return out | {
+            "new_name": edit["node_id"] if edit["name"] is None else edit["name"],
+            "label": next((x for x in (edit["entity_type"], node and node[1]) if x is not None), UNKNOWN_LABEL),
+            "context": out["relation"] if context is None else context, "weight": 0.5 if weight is None else weight}
+
+    def fault(self, e: dict) -> str | None:
+        """Why the edit cannot be applied now, by the order of ``validate_mutations``."""
+        op, about_node, about_edge = e["operation"], e["operation"] in ("update_node", "delete_node"), e["operation"] in ("update_edge", "delete_edge")
+        named, linked = op in ("add_node", "update_node"), op in ("add_edge", "update_edge")
+        long = lambda field, limit: e[field] is not None and len(e[field]) > limit
+        taken = e["new_name"] in self.nodes
+        checks = (
+            ("unknown_operation", op not in OPERATION_LABELS or op == "redraw_graph"),
+            ("blank_node", about_node and e["node_id"] is None),
+            ("blank_name", op == "add_node" and e["new_name"] is None),
+            ("blank_edge", about_edge and e["edge_id"] is None),
+            ("name_too_long", named and long("new_name", MAX_NAME)), ("type_too_long", named and long("label", MAX_LABEL)),
+            ("node_exists", op == "add_node" and taken),
+            ("node_missing", about_node and e["node_id"] not in self.nodes),
+            ("name_taken", op == "update_node" and e["new_name"] != e["node_id"] and taken),
+            ("edge_missing", about_edge and e["edge_id"] not in self.edges),
+            ("blank_endpoint", linked and (e["source"] is None or e["target"] is None)),
+            ("endpoint_missing", linked and not (e["source"] in self.nodes and e["target"] in self.nodes)),
+            ("blank_relation", linked and e["relation"] is None),
+            ("relation_too_long", linked and long("relation", MAX_RELATION)), ("context_too_long", linked and long("context", MAX_CONTEXT)),
+            ("weight_out_of_range", linked and not 0.0 <= e["weight"] <= 1.0))
+        return next((name for name, bad in checks if bad), None)
+
+    def edit(self, row: dict) -> None:
+        e = self.filled(row)
+        if reason := self.fault(e):
+            self.rejected.append(e | {"reject_reason": reason})
+            return
+        getattr(self, "_" + e["operation"])(e)
+
+    def _add_node(self, e: dict) -> None:
+        self.nodes[e["new_name"]] = [None, e["label"], e["seq"]]
+
+    def _update_node(self, e: dict) -> None:
+        first, _, seq = self.nodes.pop(e["node_id"])
+        self.nodes[e["new_name"]] = [first, e["label"], seq if seq is not None else -1]
+        if e["new_name"] != e["node_id"]:
+            self.names.move(e["node_id"], e["new_name"])
+            for key in self.at_end.pop(e["node_id"], set()):
+                for end in ("source", "target"):
+                    if self.edges[key][end] == e["node_id"]:
+                        self.edges[key][end] = e["new_name"]
+                self._link(key)
+
+    def _delete_node(self, e: dict) -> None:
+        first, _, _ = self.nodes.pop(e["node_id"])
+        if first is not None:
+            self.lost.append(first)
+        self.names.move(e["node_id"], None)
+        for key in list(self.at_end.get(e["node_id"], ())):
+            self._drop(key)
+
+    def _add_edge(self, e: dict) -> None:
+        fields = {c: _json_text(e[c]) for c in _EDGE_TEXTS} | {"count": str(self.manual)}
+        text = "{" + ", ".join(f'"{name}": {fields[name]}' for name in sorted(fields)) + "}"
+        key = name = "edge-" + hashlib.sha1(text.encode()).hexdigest()[:20]
+        while key in self.edges:   # an edge of the same id is there: edits that give the id mean that one
+            key += "'"
+        self.edges[key] = {c: e[c] for c in (*_EDGE_TEXTS, "weight")} | {
+            "id": name, "rel_idx": self._last_number() + 1, "manual": True, "copies": 1, "new": True}
+        self.manual += 1
+        heapq.heappush(self.numbers, (-self.edges[key]["rel_idx"], key))
+        self._link(key)
+
+    def _update_edge(self, e: dict) -> None:
+        self._unlink(e["edge_id"])
+        self.edges[e["edge_id"]] |= {c: e[c] for c in (*_EDGE_TEXTS, "weight")}
+        self._link(e["edge_id"])
+
+    def _delete_edge(self, e: dict) -> None:
+        self._drop(e["edge_id"])
+
+    def effects(self) -> list[dict]:
+        out = [{"kind": "rejected"} | r for r in self.rejected]
+        out += [{"kind": "end", "node_id": old, "new_name": new} for old, new in self.names.now.items() if old != new]
+        out += [{"kind": "node", "node_id": first} for first in self.lost]
+        out += [{"kind": "node", "node_id": first, "new_name": name, "label": label, "seq": seq}
+                for name, (first, label, seq) in self.nodes.items() if seq is not None]
+        out += [{"kind": "edge", "edge_id": key, "gone": True} for key in self.removed]
+        return out + [{"kind": "new_edge" if edge["new"] else "edge", "edge_id": edge.get("id", key), "gone": False}
+                      | {c: edge[c] for c in (*_EDGE_TEXTS, "weight", "rel_idx")} for key, edge in self.edges.items()]
+
+
+_STATE = ("kind int, seq bigint, operation string, " + ", ".join(f"{c} string" for c in _EDIT_TEXTS)
+          + ", label string, weight double, rel_idx int, manual boolean")
+
+
+def _state_rows(rows: DataFrame, kind: int) -> DataFrame:
+    """Rows of one kind (0 nodes, 1 edges, 2 edits) in the columns that the log reads."""
+    fields = [f.strip().split(" ") for f in _STATE.split(",")]
+    return rows.select("doc_id", *[
+        F.lit(kind).alias(n) if n == "kind" else (F.col(n) if n in rows.columns else F.lit(None)).cast(t).alias(n) for n, t in fields])
+
+
+def _composed(labels: DataFrame, rel: DataFrame, mutations: DataFrame) -> DataFrame:
+    """The effect of each document's whole log: rows of kind rejected, end, node, edge, new_edge."""
+    log = mutations.select("doc_id", "seq", "operation", "weight", *[_or_null(c).alias(c) for c in _EDIT_TEXTS])
+    wanted = log.filter("edge_id is not null").select("doc_id", "edge_id").distinct()
+    columns = ("doc_id", F.col("edit_id").alias("edge_id"), *_EDGE_TEXTS, "weight", "rel_idx",
+               F.coalesce(F.col("bid") == MANUAL_BLOCK, F.lit(False)).alias("manual"))
+    stored = rel.select(*columns)
+    edges = stored.join(wanted, ["doc_id", "edge_id"], "left_semi").filter(~F.col("manual")).unionByName(
+        stored.filter("manual").join(log.select("doc_id").distinct(), "doc_id", "left_semi"))
+    edges = materialise(edges)
+    said = log.select("doc_id", F.explode(F.array("node_id", "name", "source", "target")).alias("node_id")).unionByName(
+        edges.select("doc_id", F.explode(F.array("source", "target")).alias("node_id"))).filter("node_id is not null").distinct()
+    nodes = labels.select("doc_id", F.col("name").alias("node_id"), "label").join(said, ["doc_id", "node_id"], "left_semi")
+    state = _state_rows(nodes, 0).unionByName(_state_rows(edges, 1)).unionByName(_state_rows(log, 2))
+    kinds = {"seq": (pa.int64(), "bigint"), "weight": (pa.float64(), "double"), "rel_idx": (pa.int32(), "int"), "gone": (pa.bool_(), "boolean")}
+    out_fields = [(n, *kinds.get(n, (pa.string(), "string"))) for n in ("kind", *_CHECKED, "rel_idx", "gone")]
+    schema = T.StructType([mutations.schema["doc_id"], *T.StructType.fromDDL(", ".join(f"{n} {t}" for n, _, t in out_fields))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow, doc, log = None, None, None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            effects = [{"doc_id": doc} | e for e in log.effects()] if log else []
+            if effects:
+                yield pa.RecordBatch.from_pylist(effects, schema=arrow)
+
+        for batch in batches:
+            arrow = arrow or pa.schema([batch.schema.field("doc_id"), *((n, t) for n, t, _ in out_fields)])
+            for row in batch.to_pylist():
+                if log is None or row["doc_id"] != doc:
+                    yield from done()
+                    doc, log = row["doc_id"], _DocumentLog()
+                (log.know_node, log.know_edge, log.edit)[row["kind"]](row)
+        yield from done()
+
+    return state.repartition("doc_id").sortWithinPartitions("doc_id", "kind", "seq").mapInArrow(run, schema)
 
 
 def apply_mutations(labels: DataFrame, rel: DataFrame,
                     mutations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Apply every edit in ``seq`` order; returns labels, relations and rejected edits.
 
-    A rejected edit changes nothing and the following ones still run.  A round
-    rewrites only the tables its kinds of edit touch.
+    A rejected edit changes nothing and the following ones still run.  A document's log is
+    composed first, over the nodes and edges that it names; then labels and relations are
+    read once, however many edits there are.  Edits depend on those before them, so one task
+    walks over a document's log; it holds what the log names, not the document's graph.
     """
-    order = Window.partitionBy("doc_id").orderBy("seq")
-    queue = materialise(mutations.withColumn("_round", F.row_number().over(order)))
-    labels, rel = materialise(labels), materialise(rel)
-    # At most six kinds per round come to the driver.
-    known = queue.filter(F.col("operation").isin([o for o in OPERATION_LABELS if o != "redraw_graph"]))
-    kinds: dict[int, set[str]] = {}
-    for row in known.select("_round", "operation").distinct().collect():
-        kinds.setdefault(row["_round"], set()).add(row["operation"])
-    rounds = queue.agg(F.max("_round")).first()[0] or 0
-    rejected = None
-    for k in range(1, rounds + 1):
-        ops = kinds.get(k, set())
-        checked = materialise(validate_mutations(
-            queue.filter(F.col("_round") == k).drop("_round"), labels, rel))
-        bad = checked.filter(F.col("reject_reason").isNotNull())
-        rejected = bad if rejected is None else rejected.unionByName(bad)
-        valid = checked.filter(F.col("reject_reason").isNull())
-        if ops & (NODE_EDITS | {"add_node"}):
-            labels = materialise(_edit_labels(labels, valid, ops))
-        if ops - {"add_node"}:
-            rel = materialise(_edit_relations(rel, valid, ops))
-    return labels, rel, rejected
+    rel = with_edge_ids(rel)
+    effects = materialise(_composed(labels, rel, mutations))
+    of = lambda kind: effects.filter(F.col("kind") == kind)
+    nodes = of("node")
+    place = F.lit(MANUAL_ORDINAL * ORDER_STRIDE) + F.col("seq")
+    changed = nodes.filter("node_id is not null").select(
+        "doc_id", F.col("node_id").alias("name"), F.col("new_name").alias("_to"), F.col("label").alias("_label"), F.lit(True).alias("_hit"))
+    new_labels = labels.join(changed, ["doc_id", "name"], "left").filter("_hit is null or _to is not null").select(
+        "doc_id", F.coalesce("_to", "name").alias("name"), F.coalesce("_label", "label").alias("label"), "first_pos").unionByName(
+        nodes.filter("node_id is null").select("doc_id", F.col("new_name").alias("name"), "label", place.alias("first_pos")))
+
+    fields = (*_EDGE_TEXTS, "weight")
+    own = of("edge").select("doc_id", F.col("edge_id").alias("edit_id"), "gone", F.struct(*fields).alias("_new"))
+    kept = rel.join(own, ["doc_id", "edit_id"], "left").filter("gone is null or not gone")
+    for end in ("source", "target"):   # an edge that the log names has its ends from the log
+        ends = of("end").select("doc_id", F.col("node_id").alias(end), F.col("new_name").alias("_to"), F.lit(True).alias("_hit"))
+        free = F.col("_new").isNull() & F.col("_hit").isNotNull()
+        kept = kept.join(ends, ["doc_id", end], "left").filter(~(free & F.col("_to").isNull())).withColumn(
+            end, F.when(free, F.col("_to")).otherwise(F.col(end))).drop("_to", "_hit")
+    kept = kept.withColumns({c: F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)) for c in fields})
+    columns = ["doc_id", "bid", "ordinal", "rel_idx", "source", "target", "relation", "context", "weight", "origin", "edit_id"]
+    made = of("new_edge").select(
+        "doc_id", F.lit(MANUAL_BLOCK).alias("bid"), F.lit(MANUAL_ORDINAL).alias("ordinal"), "rel_idx", *_EDGE_TEXTS, "weight",
+        F.lit(MANUAL_ORIGIN).alias("origin"), F.col("edge_id").alias("edit_id"))
+    return new_labels, kept.select(*columns).unionByName(made), of("rejected").select("doc_id", *_CHECKED)
 
 
 # -- versions -----------------------------------------------------------------

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import re
+import heapq
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillgraph.functions.arrays import bind, explode_indexed, first_seen
 from quillgraph.functions.containment import contains_join
 from quillgraph.functions.text import fold, is_highlightable, normalize_ws, preview, strip
+from quillgraph.operators.chunking import sentences
 from quillgraph.operators.entities import nest_entities
 
 MIN_ANCHOR_CHARS = 16
@@ -37,12 +39,8 @@ def legacy_entities(chunks: DataFrame, chunk_entities: DataFrame, labels: DataFr
         "doc_id", "bid", "ordinal", pos.alias("pos"), "name", F.col("label").alias("type"))
 
 
-def highlight_index(chunks: DataFrame, chunk_entities: DataFrame, rel: DataFrame) -> DataFrame:
-    """Signature and the entity, relation and evidence terms that occur in each chunk.
-
-    Terms keep their first-seen order: extracted names before relation ends.  All
-    work happens in the chunk's own row.
-    """
+def highlight_sources(chunks: DataFrame, chunk_entities: DataFrame, rel: DataFrame) -> DataFrame:
+    """Each chunk with its entities and relations, and the signature of all that its highlights depend on."""
     nested = (
         chunks.select("doc_id", "bid", "ordinal", "text")
         .join(nest_entities(chunk_entities), ["doc_id", "bid"], "left")
@@ -50,6 +48,15 @@ def highlight_index(chunks: DataFrame, chunk_entities: DataFrame, rel: DataFrame
     ents = F.coalesce("entities", F.array().cast("array<struct<name:string,type:string>>"))
     rels = F.coalesce("relations", F.array().cast(
         "array<struct<source:string,target:string,relation:string,context:string,weight:double>>"))
+    signature = F.sha2(F.to_json(F.struct("text", "entities", "relations")).cast("binary"), 256)
+    return nested.withColumn("entities", ents).withColumn("relations", rels).withColumn("signature", signature)
+
+
+def build_highlights(sources: DataFrame) -> DataFrame:
+    """The entity, relation and evidence terms that occur in each chunk, in first-seen order.
+
+    Extracted names come before relation ends.  All work happens in the chunk's own row.
+    """
     field = lambda name: F.transform("relations", lambda r: r[name])
     ends = F.flatten(F.transform("relations", lambda r: F.array(r["source"], r["target"])))
 
@@ -58,22 +65,31 @@ def highlight_index(chunks: DataFrame, chunk_entities: DataFrame, rel: DataFrame
         return bind(fold(F.col("text")), lambda text: F.filter(clean, lambda t: (
             F.contains(text, fold(t)) & (is_highlightable(t) if entity else F.lit(True)))))
 
-    signature = F.sha2(F.to_json(F.struct("text", "entities", "relations")).cast("binary"), 256)
     return (
-        nested.withColumn("entities", ents).withColumn("relations", rels)
-        .withColumn("signature", signature)
-        .withColumn("entity_terms", present(F.concat(F.transform("entities", lambda e: e["name"]), ends), True))
+        sources.withColumn("entity_terms", present(F.concat(F.transform("entities", lambda e: e["name"]), ends), True))
         .withColumn("relation_terms", present(field("relation")))
         .withColumn("evidence_terms", present(field("context")))
         .drop("entities", "relations")
     )
 
 
-def reuse_highlights(previous: DataFrame, current: DataFrame) -> DataFrame:
-    """Current index rows with ``reused`` set where the stored signature is unchanged."""
-    stored = previous.select("doc_id", "bid", "signature", F.lit(True).alias("_same"))
-    return current.join(stored, ["doc_id", "bid", "signature"], "left").withColumn(
-        "reused", F.coalesce("_same", F.lit(False))).drop("_same")
+def highlight_index(chunks: DataFrame, chunk_entities: DataFrame, rel: DataFrame) -> DataFrame:
+    """Signature and the entity, relation and evidence terms that occur in each chunk."""
+    return build_highlights(highlight_sources(chunks, chunk_entities, rel))
+
+
+def refresh_highlights(stored: DataFrame, chunks: DataFrame, chunk_entities: DataFrame, rel: DataFrame) -> DataFrame:
+    """The index of the present chunks with ``reused``: stored rows where the signature is unchanged, built rows elsewhere.
+
+    Terms are looked for only in chunks without a stored signature.  Rows of chunks that are gone are left out;
+    a stored row takes the chunk's present ordinal and text.
+    """
+    sources = highlight_sources(chunks, chunk_entities, rel)
+    keys = ["doc_id", "bid", "signature"]
+    kept = sources.drop("entities", "relations").join(
+        stored.select(*keys, *TERM_KINDS).dropDuplicates(keys), keys).withColumn("reused", F.lit(True))
+    built = build_highlights(sources.join(stored.select(*keys), keys, "left_anti")).withColumn("reused", F.lit(False))
+    return kept.unionByName(built)
 
 
 def highlight_stats(marked: DataFrame) -> DataFrame:
@@ -128,52 +144,52 @@ def resolve_evidence(refs: DataFrame, chunks: DataFrame) -> DataFrame:
 # -- character ranges ---------------------------------------------------------
 
 class _Folded:
-    """Lower-case, whitespace-collapsed text with the raw offset of every character."""
+    """Folded form of a text, and the raw offset behind each of its characters."""
 
     def __init__(self, raw: str):
-        chars: list[str] = []
-        self.at: list[int] = []
-        gap = True
-        for offset, ch in enumerate(raw):
-            blank = ch.isspace()
-            if not (blank and gap):
-                low = " " if blank else ch.lower()
-                chars.append(low)
-                self.at += [offset] * len(low)
-            gap = blank
-        self.text = "".join(chars)
-        if self.text.endswith(" "):
-            self.text = self.text[:-1]
-            self.at.pop()
-
-    def span(self, begin: int, size: int) -> tuple[int, int]:
-        return self.at[begin], self.at[begin + size - 1] + 1
-
-
-def _fold_text(value: str) -> str:
-    return " ".join(value.lower().split())
-
-
-def _anchors(text: str) -> list[str]:
-    parts = (p.strip() for p in re.split(r"\n+|(?<=[。！？.!?])\s+", text))
-    return sorted((p for p in parts if len(p) >= MIN_ANCHOR_CHARS), key=len, reverse=True)
-
-
-def _locate(raw: str, blocks: list[str]) -> list[dict | None]:
-    doc, cursor, spans = _Folded(raw), 0, []
-    for block in blocks:
-        wanted = _fold_text(block)
-        place = doc.text.find(wanted, cursor) if wanted else -1
-        if place < 0 and wanted:
-            place = doc.text.find(wanted)
+        points = np.frombuffer(raw.encode("utf-32-le", "surrogatepass"), "<u4")
+        kinds, which = np.unique(points, return_inverse=True)   # each kind of character is looked at once
+        forms = [" " if chr(k).isspace() else chr(k).lower() for k in kinds.tolist()]
+        blank = np.array([f == " " for f in forms], bool)[which]
+        kept = np.flatnonzero(~(blank & np.concatenate([[True], blank])[:-1]))
+        if len(kept) and blank[kept[-1]]:
+            kept = kept[:-1]
+        sizes = np.array([len(f) for f in forms], np.int64)
+        letters = np.frombuffer("".join(forms).encode("utf-32-le", "surrogatepass"), "<u4")
+        own = sizes[which[kept]]
+        self.at = np.repeat(kept, own)
+        step = np.arange(len(self.at)) - np.repeat(np.cumsum(own) - own, own)
+        picked = letters[np.repeat((np.cumsum(sizes) - sizes)[which[kept]], own) + step]
+        self.text = picked.tobytes().decode("utf-32-le", "surrogatepass")
+
+    def range(self, begin: int, size: int) -> tuple[int, int]:
+        return int(self.at[begin]), int(self.at[begin + size - 1]) + 1
+
+
+def _chunk_ranges(raw: str, blocks: list[str], anchors: list[list[str]]) -> list[dict | None]:
+    doc, cursor, out = _Folded(raw), 0, []
+    for block, sentences_ in zip(blocks, anchors):
+        wanted = _Folded(block).text
+        place = -1
+        if wanted:
+            place = doc.text.find(wanted, cursor)
+            place = doc.text.find(wanted) if place < 0 else place
         if place >= 0:
             cursor = place + len(wanted)
         else:
-            folded = (_fold_text(a) for a in _anchors(block))
-            wanted, place = next(((a, doc.text.find(a)) for a in folded if a in doc.text), ("", -1))
-        begin, end = doc.span(place, len(wanted)) if place >= 0 else (None, None)
-        spans.append({"start": begin, "end": end})
-    return spans
+            for wanted in (_Folded(s).text for s in sentences_):
+                if (place := doc.text.find(wanted)) >= 0:
+                    break
+        begin, end = doc.range(place, len(wanted)) if place >= 0 else (None, None)
+        out.append({"start": begin, "end": end})
+    return out
+
+
+def _anchors(text: Column) -> Column:
+    """Sentences of sixteen characters or more, longest first."""
+    cut = F.transform(sentences(text), lambda s, i: bind(strip(s), lambda t: F.struct(
+        (-F.length(t)).alias("n"), i.alias("i"), t.alias("s"))))
+    return F.transform(F.array_sort(F.filter(cut, lambda s: s["n"] <= -MIN_ANCHOR_CHARS)), lambda s: s["s"])
 
 
 def locate_chunks(docs: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -184,42 +200,59 @@ def locate_chunks(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     """
 
     @F.pandas_udf(SPANS)
-    def run(text: pd.Series, blocks: pd.Series) -> pd.Series:
-        return pd.Series([_locate(t or "", list(b)) for t, b in zip(text, blocks)])
+    def run(text: pd.Series, blocks: pd.Series, anchors: pd.Series) -> pd.Series:
+        return pd.Series([_chunk_ranges(t or "", list(b), [list(x) for x in a]) for t, b, a in zip(text, blocks, anchors)])
 
-    lists = chunks.groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct("ordinal", "bid", "text"))).alias("_c"))
+    cut = chunks.select("doc_id", "ordinal", "bid", "text", _anchors(F.col("text")).alias("_a"))
+    lists = cut.groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(F.struct("ordinal", "bid", "text", "_a"))).alias("_c"))
+    field = lambda name: F.transform("_c", lambda c: c[name])
     return (
         docs.select("doc_id", "text").join(lists, "doc_id")
-        .withColumn("_spans", run("text", F.transform("_c", lambda c: c["text"])))
-        .select("doc_id", F.arrays_zip(
-            F.transform("_c", lambda c: c["ordinal"]).alias("ordinal"),
-            F.transform("_c", lambda c: c["bid"]).alias("bid"), F.col("_spans").alias("span")).alias("_z"))
+        .withColumn("_spans", run("text", field("text"), field("_a")))
+        .select("doc_id", F.arrays_zip(field("ordinal").alias("ordinal"), field("bid").alias("bid"), F.col("_spans").alias("span")).alias("_z"))
         .transform(explode_indexed, "_z", "_p", "_r")
         .select("doc_id", "_r.ordinal", "_r.bid", "_r.span.start", "_r.span.end")
     )
 
 
-def _free_parts(begin: int, end: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    parts = []
-    for lo, hi in sorted(t for t in taken if t[0] < end and t[1] > begin):
-        if begin < lo:
-            parts.append((begin, lo))
-        begin = max(begin, hi)
-    return parts + [(begin, end)] if begin < end else parts
+def _sweep(ranges: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Cover of the ranges (start, end, rank): every place belongs to the lowest rank over it.
+
+    One pass over the ends of the ranges, with the open ranges in a heap by rank.
+    """
+    out: list[tuple[int, int, int]] = []
+    waiting, active = sorted(ranges), []
+    places = sorted({p for start, end, _ in ranges for p in (start, end)})
+    at = 0
+    for here, there in zip(places, places[1:]):
+        while at < len(waiting) and waiting[at][0] == here:
+            heapq.heappush(active, (waiting[at][2], waiting[at][1]))
+            at += 1
+        while active and active[0][1] <= here:
+            heapq.heappop(active)
+        if not active:
+            continue
+        rank = active[0][0]
+        if out and out[-1][1:] == (here, rank):
+            out[-1] = (out[-1][0], there, rank)
+        else:
+            out.append((here, there, rank))
+    return out
 
 
-def _mark(raw: str, terms: list[dict]) -> list[dict]:
-    doc, taken, marks = _Folded(raw), [], []
-    for item in sorted(terms, key=lambda t: (-t["priority"], -len(t["term"]))):
-        wanted = _fold_text(item["term"])
+def _term_ranges(raw: str, terms: list[dict]) -> list[dict]:
+    doc, ranges = _Folded(raw), []
+    ordered = sorted(terms, key=lambda t: (-t["priority"], -len(t["term"]), t["term"], t["kind"]))
+    kinds: list[str] = []   # one rank per occurrence, so that neighbours of one term stay apart
+    for item in ordered:
+        wanted = _Folded(item["term"]).text
         place = doc.text.find(wanted) if wanted else -1
         while place >= 0:
-            for lo, hi in _free_parts(*doc.span(place, len(wanted)), taken):
-                taken.append((lo, hi))
-                marks.append({"start": lo, "end": hi, "kind": item["kind"]})
+            ranges.append((*doc.range(place, len(wanted)), len(kinds)))
+            kinds.append(item["kind"])
             place = doc.text.find(wanted, place + len(wanted))
-    return sorted(marks, key=lambda m: m["start"])
+    return [{"start": start, "end": end, "kind": kinds[rank]} for start, end, rank in _sweep(ranges)]
 
 
 def locate_terms(chunks: DataFrame, terms: DataFrame) -> DataFrame:
@@ -230,10 +263,10 @@ def locate_terms(chunks: DataFrame, terms: DataFrame) -> DataFrame:
 
     @F.pandas_udf("array<struct<start:int,end:int,kind:string>>")
     def run(text: pd.Series, items: pd.Series) -> pd.Series:
-        return pd.Series([_mark(t or "", list(i)) for t, i in zip(text, items)])
+        return pd.Series([_term_ranges(t or "", list(i)) for t, i in zip(text, items)])
 
     lists = terms.groupBy("doc_id", "bid").agg(
-        F.array_sort(F.collect_set(F.struct("term", "kind", "priority"))).alias("_t"))
+        F.collect_set(F.struct("term", "kind", "priority")).alias("_t"))
     return (
         chunks.select("doc_id", "bid", "text").join(lists, ["doc_id", "bid"])
         .withColumn("_m", run("text", "_t")).drop("_t")

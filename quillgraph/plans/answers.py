@@ -9,6 +9,7 @@ from quillgraph.operators import evidence, graph, retrieval
 from quillgraph.plans import sql
 from quillgraph.plans.registry import query
 from quillgraph.plans.tables import Tables, only_graph
+from quillgraph.session import materialise
 
 
 def _md5(col: str) -> object:
@@ -270,11 +271,25 @@ def highlight_index(t: Tables) -> DataFrame:
            count(*) FILTER (WHERE ch.bid IS NOT NULL) AS rebuilt_blocks
     FROM chunks c LEFT JOIN ch ON ch.bid = c.bid GROUP BY doc_id""")
 def reused_highlights(t: Tables) -> DataFrame:
-    before = evidence.highlight_index(t.chunks, t.chunk_entities, t.relations)
+    return evidence.highlight_stats(_refreshed(t))
+
+
+def _refreshed(t: Tables) -> DataFrame:
+    """A stored index, refreshed after one relation of every second chunk has changed."""
+    stored = materialise(evidence.highlight_index(t.chunks, t.chunk_entities, t.relations))
     edited = t.relations.withColumn("relation", F.when(
         (F.col("rel_idx") == 0) & (F.md5(F.col("bid").cast("binary")) < "8"), F.lit("changed")).otherwise(F.col("relation")))
-    after = evidence.highlight_index(t.chunks, t.chunk_entities, edited)
-    return evidence.highlight_stats(evidence.reuse_highlights(before, after))
+    return evidence.refresh_highlights(stored, t.chunks, t.chunk_entities, edited)
+
+
+@query("refreshed_highlights", sql.using("chunks", "ents", "rel") + _HIGHLIGHTS + """
+    , ch AS (SELECT DISTINCT bid FROM rel WHERE rel_idx = 0 AND md5(bid) < '8')
+    SELECT t.doc_id, t.bid, coalesce(ea.l, '') AS entity_terms, md5(coalesce(va.l, '')) AS evidence_digest, ch.bid IS NULL AS reused
+    FROM txt t LEFT JOIN ea ON ea.bid = t.bid LEFT JOIN va ON va.bid = t.bid LEFT JOIN ch ON ch.bid = t.bid""")
+def refreshed_highlights(t: Tables) -> DataFrame:
+    return _refreshed(t).select(
+        "doc_id", "bid", F.array_join("entity_terms", "|").alias("entity_terms"),
+        F.md5(F.array_join("evidence_terms", "|").cast("binary")).alias("evidence_digest"), "reused")
 
 
 @query("legacy_entities", sql.using("chunks", "ents", "labels") + f"""
@@ -332,9 +347,21 @@ def located_chunks(t: Tables) -> DataFrame:
 
 
 @query("located_terms", sql.using("chunks", "ents") + """
-    , occ AS (SELECT bid, any_value(e.doc_id) AS doc_id, name, any_value(len(string_split(lower(c.text), name)) - 1) AS n
-              FROM ents e JOIN chunks c USING (bid) GROUP BY bid, name)
-    SELECT DISTINCT doc_id, bid FROM occ""")
+    , cut AS (SELECT e.doc_id, e.bid, length(name) % 3 AS priority, length(name) AS size, name, string_split(lower(c.text), name) AS parts
+              FROM (SELECT DISTINCT doc_id, bid, name FROM ents) e JOIN chunks c USING (bid)),
+    hit AS (SELECT doc_id, bid, priority, size, name, unnest(list_transform(range(1, len(parts)), lambda k:
+              list_sum(list_transform(parts[1:k], lambda p: length(p)))::BIGINT + (k - 1) * size)) AS s FROM cut),
+    occ AS (SELECT doc_id, bid, s, s + size AS e, 'kind ' || priority AS kind,
+              row_number() OVER (PARTITION BY bid ORDER BY priority DESC, size DESC, name, s) AS rank FROM hit),
+    pts AS (SELECT bid, p, lead(p) OVER (PARTITION BY bid ORDER BY p) AS q FROM (SELECT bid, s AS p FROM occ UNION SELECT bid, e FROM occ)),
+    own AS (SELECT doc_id, bid, p, q, min(rank) AS rank, arg_min(kind, rank) AS kind FROM pts JOIN occ USING (bid)
+            WHERE q IS NOT NULL AND s <= p AND e >= q GROUP BY ALL),
+    run AS (SELECT *, sum(fresh) OVER (PARTITION BY bid ORDER BY p) AS no FROM (
+            SELECT *, (lag(rank) OVER o IS DISTINCT FROM rank OR lag(q) OVER o <> p)::INT AS fresh FROM own WINDOW o AS (PARTITION BY bid ORDER BY p)))
+    SELECT doc_id, bid, min(p)::INT AS start, max(q)::INT AS "end", any_value(kind) AS kind FROM run GROUP BY doc_id, bid, no""")
 def located_terms(t: Tables) -> DataFrame:
-    terms = t.chunk_entities.select("doc_id", "bid", F.col("name").alias("term"), F.lit("entity").alias("kind"), F.lit(3).alias("priority"))
-    return evidence.locate_terms(t.chunks, terms).select("doc_id", "bid").distinct()
+    """Every range of every name in its chunk, names of three priorities competing for the place."""
+    rank = F.length("name") % 3
+    terms = t.chunk_entities.select(
+        "doc_id", "bid", F.col("name").alias("term"), F.concat(F.lit("kind "), rank).alias("kind"), rank.alias("priority"))
+    return evidence.locate_terms(t.chunks, terms).select("doc_id", "bid", "start", "end", "kind")

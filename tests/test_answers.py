@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,11 +112,15 @@ def test_highlights_and_reuse(spark):
     rows = {r.bid: r for r in first.collect()}
     assert rows["block-1"].entity_terms == ["刘备", "蜀汉"] and rows["block-1"].relation_terms == ["建立"]
     assert rows["block-2"].evidence_terms == ["诸葛亮辅佐刘备"]
-    stats = evidence.highlight_stats(evidence.reuse_highlights(first.limit(0), first)).first()
+    stats = evidence.highlight_stats(evidence.refresh_highlights(first.limit(0), chunks, ents, rel)).first()
     assert (stats.total_blocks, stats.reused_blocks, stats.rebuilt_blocks) == (2, 0, 2)
-    changed = evidence.highlight_index(chunks, ents, rel.withColumn("relation", F.when(F.col("bid") == "block-2", "共同辅佐").otherwise(F.col("relation"))))
-    stats = evidence.highlight_stats(evidence.reuse_highlights(first, changed)).first()
+    edited = rel.withColumn("relation", F.when(F.col("bid") == "block-2", "共同辅佐").otherwise(F.col("relation")))
+    # What is stored comes back as it was stored: terms of unchanged chunks are not looked for again.
+    stored = first.withColumn("evidence_terms", F.array(F.lit("as stored")))
+    again = evidence.refresh_highlights(stored, chunks, ents, edited)
+    stats = evidence.highlight_stats(again).first()
     assert (stats.reused_blocks, stats.rebuilt_blocks) == (1, 1)
+    assert {r.bid: r.evidence_terms for r in again.collect()} == {"block-1": ["as stored"], "block-2": ["诸葛亮辅佐刘备"]}
 
 
 def test_pronouns_are_not_highlighted(spark):
@@ -221,3 +227,29 @@ def test_text_helpers(spark):
     assert [r[0] for r in df.select(tx.text_quality(F.lit("汉a\u0001"))).collect()][0] == pytest.approx((3 + 0.2 - 12) / 3)
     batches = chunking.batch_items(spark.range(45).withColumn("k", F.lit(1)), ["k"], ["id"], 20)
     assert batches.groupBy("item_batch").count().orderBy("item_batch").collect()[-1]["count"] == 5
+
+
+def test_ranges_of_terms_compete_by_priority(spark):
+    text = "Alpha  beta\tGAMMA delta; alpha beta"
+    chunk = spark.createDataFrame([("d", 1, "b", text, 5)], schemas.CHUNKS)
+    terms = [("alpha beta", "low", 1), ("beta gamma", "high", 3), ("beta", "mid", 2), ("eta", "mid", 2), ("", "none", 9), ("missing", "none", 9)]
+    df = spark.createDataFrame([("d", "b", *t) for t in terms], "doc_id string, bid string, term string, kind string, priority int")
+    got = [(r.matched, r.kind) for r in evidence.locate_terms(chunk, df).orderBy("match_no").collect()]
+    assert got == [("Alpha  ", "low"), ("beta\tGAMMA", "high"), ("alpha ", "low"), ("beta", "mid")]
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_sweep_equals_painting(seed):
+    rng = random.Random(seed)
+    ranges = [(s, s + rng.randint(1, 9), rank) for rank, s in enumerate(rng.randrange(30) for _ in range(rng.randint(0, 12)))]
+    owner = {p: min(r for s, e, r in ranges if s <= p < e) for p in range(40) if any(s <= p < e for s, e, _ in ranges)}
+    found = evidence._sweep(ranges)
+    assert {p: r for s, e, r in found for p in range(s, e)} == owner
+    assert all(a[1] < b[0] or a[2] != b[2] for a, b in zip(found, found[1:]))
+
+
+def test_folded_offsets():
+    folded = evidence._Folded(" \n A\u00a0\u2003B İstanbul  ")
+    assert folded.text == " \n A\u00a0\u2003B İstanbul  ".lower().split()[0] + " b i̇stanbul"
+    assert [folded.range(folded.text.find(w), len(w)) for w in ("a", "b", "i̇stanbul")] == [(3, 4), (6, 7), (8, 16)]
+    assert evidence._Folded("").text == "" and evidence._Folded(" \t").text == ""
