@@ -2,48 +2,123 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import bisect
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
 
 from quillgraph.functions.arrays import bind, explode_indexed
 from quillgraph.functions.text import normalize_ws
 from quillgraph.operators.chunking import split_by_tokens
 
-CUT = "\u0001"
+#: Characters by which a chunk is first looked for in the new text.
+ANCHOR = 12
+_PRIME = 0x9E3779B97F4A7C15   # odd, so that its powers can be inverted
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+
 
+class _Windows:
+    """Rolling hashes of every window of a text."""
 
-def _without_kept(text: Column, kept: Column) -> Column:
-    """``text`` with the first place of each kept chunk replaced by a cut mark."""
+    def __init__(self, text: str):
+        codes = _codes(text)
+        power = np.full(len(codes) + 1, _PRIME, np.uint64)
+        inverse = np.full(len(codes) + 1, pow(_PRIME, -1, 1 << 64), np.uint64)
+        power[0] = inverse[0] = 1
+        self.power, self.inverse = np.multiply.accumulate(power), np.multiply.accumulate(inverse)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((codes + np.uint64(1)) * self.power[:-1])])
 
-    def remove(acc: Column, chunk: Column) -> Column:
-        place = F.instr(acc, chunk)
-        return F.when(place > 0, F.concat(
-            F.left(acc, place - 1), F.lit(CUT), F.substr(acc, place + F.length(chunk)))).otherwise(acc)
+    def all(self, size: int) -> np.ndarray:
+        count = max(len(self.sums) - size, 0)
+        return (self.sums[size:] - self.sums[:count]) * self.inverse[:count] if count else np.zeros(0, np.uint64)
 
-    return F.aggregate(kept, text, remove)
+    def at(self, places: np.ndarray, size: int) -> np.ndarray:
+        return (self.sums[places + size] - self.sums[places]) * self.inverse[places]
+
+    def one(self, text: str) -> np.uint64:
+        codes = _codes(text)
+        return np.sum((codes + np.uint64(1)) * self.power[: len(codes)], dtype=np.uint64)
+
+
+def _places(text: str, chunks: set[str]) -> dict[str, list[int]]:
+    """Where each chunk occurs in the text, in order.
+
+    Anchors of one length take one pass; where an anchor lies, its chunks of each length
+    are compared by hash, and what agrees once more by its characters.
+    """
+    windows, out = _Windows(text), {}
+    sizes: dict[int, dict[str, dict[int, list[str]]]] = {}
+    for chunk in chunks:
+        if 0 < len(chunk) <= len(text):
+            anchor = chunk[:ANCHOR]
+            sizes.setdefault(len(anchor), {}).setdefault(anchor, {}).setdefault(len(chunk), []).append(chunk)
+    for size, anchors in sizes.items():
+        hashes = np.array([windows.one(a) for a in anchors], np.uint64)
+        order, groups = np.argsort(hashes), list(anchors.values())
+        here, slot = _matches(windows.all(size), hashes[order])
+        by_slot = np.argsort(slot, kind="stable")
+        here, slot = here[by_slot], slot[by_slot]
+        edges = np.flatnonzero(np.diff(slot, prepend=-1))
+        for first, last in zip(edges.tolist(), [*edges[1:].tolist(), len(slot)]):
+            for length, group in groups[order[slot[first]]].items():
+                places = here[first:last]
+                places = places[places + length <= len(text)]
+                wanted = np.array([windows.one(c) for c in group], np.uint64)
+                by_hash = np.argsort(wanted)
+                found, which = _matches(windows.at(places, length), wanted[by_hash])
+                for place, k in zip(places[found].tolist(), by_hash[which].tolist()):
+                    if text.startswith(group[k], place):
+                        out.setdefault(group[k], []).append(place)
+    return out
+
+
+def _matches(values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where ``values`` hold one of the sorted ``wanted``, and which."""
+    slot = np.minimum(np.searchsorted(wanted, values), len(wanted) - 1)
+    at = np.flatnonzero(wanted[slot] == values)
+    return at, slot[at]
+
+
+def _cover(text: str, chunks: list[str]) -> dict:
+    """Which chunks the text still holds, and what is left of it when each has taken its first free place."""
+    places = _places(text, set(chunks))
+    starts, ends, left = [], [], {chunk: iter(found) for chunk, found in places.items()}
+    for chunk in chunks:
+        for place in left.get(chunk, ()):
+            at = bisect.bisect_left(starts, place + len(chunk))   # taken ranges before it begin left of its end
+            if at == 0 or ends[at - 1] <= place:
+                starts.insert(at, place)
+                ends.insert(at, place + len(chunk))
+                break
+    return {"kept": [chunk in places or chunk == "" for chunk in chunks],
+            "gaps": [text[a:b] for a, b in zip([0, *ends], [*starts, len(text)])]}
 
 
 def diff_chunks(old_chunks: DataFrame, new_docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Old chunks marked kept or deleted, and the new text between the kept ones.
 
-    The chunks of a document meet its new text once, in one row.  Without old
-    chunks the whole text is new.
+    The chunks of a document meet its new text once, in one row: rolling hashes find the places
+    of all chunks, and each chunk in order takes its first place that is still free.
+    Without old chunks the whole text is new.
     """
+    @F.pandas_udf("struct<kept:array<boolean>,gaps:array<string>>")
+    def covered(text: pd.Series, chunks: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_cover(t or "", list(c)) for t, c in zip(text, chunks)], columns=["kept", "gaps"])
+
     lists = old_chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(
         "ordinal", "bid", normalize_ws(F.col("text")).alias("norm")))).alias("_old"))
     both = (
         new_docs.select("doc_id", normalize_ws(F.col("text")).alias("_new"))
         .join(lists, "doc_id", "left")
-        .withColumn("_old", F.transform(
-            F.coalesce("_old", F.array().cast("array<struct<ordinal:int,bid:string,norm:string>>")),
-            lambda c: F.struct(c["ordinal"].alias("ordinal"), c["bid"].alias("bid"), c["norm"].alias("norm"),
-                               F.contains(F.col("_new"), c["norm"]).alias("kept")))))
-    marked = both.select("doc_id", "_old").transform(explode_indexed, "_old", "_p", "_c").select(
-        "doc_id", "_c.ordinal", "_c.bid", "_c.kept")
-    kept = F.transform(
-        F.filter("_old", lambda c: c["kept"] & (c["norm"] != "")), lambda c: c["norm"])
-    gaps = F.filter(
-        F.transform(F.split(_without_kept(F.col("_new"), kept), CUT, -1), lambda g: normalize_ws(g)),
-        lambda g: g != "")
+        .withColumn("_old", F.coalesce("_old", F.array().cast("array<struct<ordinal:int,bid:string,norm:string>>")))
+        .withColumn("_found", covered("_new", F.transform("_old", lambda c: c["norm"]))))
+    marked = both.select("doc_id", F.arrays_zip("_old", F.col("_found.kept").alias("kept")).alias("_z")).transform(
+        explode_indexed, "_z", "_p", "_c").select("doc_id", "_c._old.ordinal", "_c._old.bid", "_c.kept")
+    gaps = F.filter(F.transform("_found.gaps", lambda g: normalize_ws(g)), lambda g: g != "")
     added = both.select("doc_id", gaps.alias("_gaps")).transform(explode_indexed, "_gaps", "gap_no", "text")
     return marked, added
 

@@ -53,10 +53,11 @@ def chunk_diff(t: Tables) -> DataFrame:
     g AS (SELECT new.doc_id, string_split(CASE WHEN l IS NULL THEN norm ELSE list_reduce(l, lambda acc, c:
             CASE WHEN instr(acc, c) > 0 THEN left(acc, instr(acc, c) - 1) || chr(1) || substr(acc, instr(acc, c) + length(c)) ELSE acc END, norm) END, chr(1)) AS parts
           FROM new LEFT JOIN k ON k.doc_id = new.doc_id)
-    SELECT doc_id, list_filter(list_transform(parts, lambda p: trim(p)), lambda p: p <> '')[-1] AS last_gap FROM g""".replace('" + sql.norm("text") + "', sql.norm("text")))
+    SELECT doc_id, unnest(range(len(gaps))) AS gap_no, md5(unnest(gaps)) AS digest FROM (
+      SELECT doc_id, list_filter(list_transform(parts, lambda p: trim(p)), lambda p: p <> '') AS gaps FROM g)""".replace('" + sql.norm("text") + "', sql.norm("text")))
 def added_text(t: Tables) -> DataFrame:
     _, gaps = incremental.diff_chunks(t.chunks, _new_docs(t))
-    return gaps.groupBy("doc_id").agg(F.max_by("text", "gap_no").alias("last_gap"))
+    return gaps.select("doc_id", F.col("gap_no").cast("long").alias("gap_no"), _md5("text").alias("digest"))
 
 
 @query("added_chunks")

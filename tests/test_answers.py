@@ -253,3 +253,37 @@ def test_folded_offsets():
     assert folded.text == " \n A\u00a0\u2003B İstanbul  ".lower().split()[0] + " b i̇stanbul"
     assert [folded.range(folded.text.find(w), len(w)) for w in ("a", "b", "i̇stanbul")] == [(3, 4), (6, 7), (8, 16)]
     assert evidence._Folded("").text == "" and evidence._Folded(" \t").text == ""
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_chunk_cover_equals_one_removal_after_another(seed):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("ab") for _ in range(rng.randint(1, 3)))
+    text = " ".join(word() for _ in range(rng.randint(0, 40)))
+    chunks = [text[i: i + rng.randint(0, 30)] for i in (rng.randrange(len(text) + 1) for _ in range(12))] + ["absent", "", "abab"]
+    rng.shuffle(chunks)
+    rest = text
+    for chunk in chunks:
+        if chunk:
+            rest = rest.replace(chunk, "\1", 1)
+    found = incremental._cover(text, chunks)
+    assert found["kept"] == [c in text for c in chunks] and found["gaps"] == rest.split("\1")
+
+
+def test_cover_of_many_chunks_takes_one_pass():
+    """50,000 chunks of one document; a search for each through the whole text would take hours."""
+    lines = [f"line number {i} of a long document" for i in range(50_000)]
+    found = incremental._cover("\n".join(lines[::2] + ["new end"]), lines)
+    assert sum(found["kept"]) == 25_000 and "".join(found["gaps"]).strip() == "new end"
+
+
+@pytest.mark.parametrize("most", [1, 2, 100])
+def test_contains_join_in_parts(spark, most):
+    rng = random.Random(most)
+    word = lambda n: "".join(rng.choice("abc") for _ in range(rng.randint(0, n)))
+    texts = [(k, i, word(30)) for i, k in enumerate(rng.choices([1, 1, 2, None], k=40))]
+    names = list({(rng.choice([1, 2, 3, None]), word(4), n % 2) for n in range(40)})
+    left = spark.createDataFrame(texts, "k int, i int, text string")
+    right = spark.createDataFrame(names, "k int, name string, kind int")
+    got = [(r.k, r.i, r.name, r.kind) for r in contains_join(left, right, ["k"], ["i"], "text", "name", most, most).collect()]
+    assert sorted(got) == sorted((k, i, n, kind) for k, i, t in texts for j, n, kind in names if k is not None and k == j and n and n in t)
