@@ -17,9 +17,17 @@ from quillgraph.llm.textkit import as_bytes, partitions, slices
 SEGMENT = 1 << 16
 FLUSH = 1 << 20
 
-#: Cells of a frequency table (16 MB) and bits of a membership filter (16 MB).
+#: Cells of a frequency table (16 MB) and bits of a membership filter (16 MB) at most; smaller inputs
+#: get smaller tables, of two cells a word and 16 bits a key.
 CELLS = 1 << 24
 BITS = 1 << 27
+WORD_BYTES = 6   # rough size of a word with its space
+KEY_BITS = 16
+
+
+def _fitting(wanted: int, most: int) -> int:
+    """The power of two from ``wanted`` on, one segment at least."""
+    return max(SEGMENT, min(1 << max(wanted - 1, 0).bit_length(), most))
 
 
 def pack_offsets(offsets: np.ndarray) -> bytes:
@@ -32,21 +40,21 @@ def unpack_offsets(packed: bytes) -> np.ndarray:
     return np.cumsum(steps.astype(np.int64))
 
 
-def by_segment(cells: np.ndarray, *values: np.ndarray) -> Iterator[tuple]:
-    """Cut sorted cell numbers (and what belongs to them) at the borders of segments."""
+def by_segment(cells: np.ndarray, *values: np.ndarray, size: int = SEGMENT) -> Iterator[tuple]:
+    """Cut sorted cell numbers (and what belongs to them) at the borders of segments of ``size`` cells."""
     if len(cells):
-        cut = np.flatnonzero(np.diff(cells // SEGMENT)) + 1
+        cut = np.flatnonzero(np.diff(cells // size)) + 1
         for part in zip(np.split(cells, cut), *(np.split(v, cut) for v in values)):
-            yield (int(part[0][0] // SEGMENT), part[0] % SEGMENT, *part[1:])
+            yield (int(part[0][0] // size), part[0] % size, *part[1:])
 
 
 def merged(parts: DataFrame, dtype: type, add: Callable[[np.ndarray, dict], None],
-           finish: Callable[[np.ndarray], bytes]) -> DataFrame:
+           finish: Callable[[np.ndarray], bytes], size: int = SEGMENT) -> DataFrame:
     """(segment, bits): the pieces of each segment added up, one segment in memory at a time."""
     names = [n for n in parts.columns if n != "segment"]
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, cells = None, np.zeros(SEGMENT, dtype)
+        current, cells = None, np.zeros(size, dtype)
         done = lambda: pa.RecordBatch.from_arrays(
             [pa.array([current], pa.int32()), pa.array([finish(cells)], pa.binary())], names=["segment", "bits"])
         for batch in batches:
@@ -55,7 +63,7 @@ def merged(parts: DataFrame, dtype: type, add: Callable[[np.ndarray, dict], None
                 if segment != current:
                     if current is not None:
                         yield done()
-                    current, cells = segment, np.zeros(SEGMENT, dtype)
+                    current, cells = segment, np.zeros(size, dtype)
                 add(cells, dict(zip(names, piece)))
         if current is not None:
             yield done()
@@ -73,11 +81,16 @@ def gather(segments: DataFrame, count: int, width: int) -> bytes:
     return out.tobytes()
 
 
-def frequency_codes(texts: DataFrame, hashes: Callable[[list[bytes | None]], np.ndarray], cells: int = CELLS) -> bytes:
+def frequency_codes(texts: DataFrame, hashes: Callable[[list[bytes | None]], np.ndarray], cells: int | None = None) -> bytes:
     """One byte per cell: 0 if no hash of any text fell there, else 1 + 8 log2(count), up to 255.
 
     The count of a cell is at least that of each hash in it, so code 1 means: once at most.
+    The number of cells follows the bytes of the texts, if it is not given.
     """
+    if cells is None:
+        size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+        cells = _fitting(2 * int(size) // WORD_BYTES, CELLS)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
 
@@ -117,7 +130,8 @@ def codes_of(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 class Membership:
     """Filter by a bitmap of key hashes: never leaves out a key that is there."""
 
-    def __init__(self, keys: DataFrame, key: Column, bits: int = BITS):
+    def __init__(self, keys: DataFrame, key: Column, bits: int | None = None):
+        bits = bits or _fitting(KEY_BITS * keys.count(), BITS)
         hashed = keys.select(F.pmod(F.xxhash64(key), F.lit(bits)).alias("cell"))
 
         def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,14 +21,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quillgraph.llm.sketches import SEGMENT, Membership, by_segment, gather, merged, pack_offsets, unpack_offsets
+from quillgraph.llm.sketches import Membership, by_segment, gather, merged
 from quillgraph.llm.textkit import Words, as_bytes, mix, partitions, slices, spread
 from quillgraph.session import materialise
 
 WINDOW_WORDS = 35
 ROWS = 2
 MOST_BITS = 1 << 30
-FLUSH = 1 << 20            # windows that a task counts before it sends them on
+RANGES = 256               # in which the sketch is sent and merged, whatever its width
+FLUSH = 1 << 19            # windows that a task counts before it sends them on
 SETTLE = 1 << 18           # candidate windows that meet within a task
 ROWS_OUT = 1 << 14         # rows of one Arrow batch to the JVM
 WORD_BYTES = 6             # rough size of a word with its space, for the sketch's width
@@ -50,17 +51,31 @@ def _windows(texts: list[bytes | None], size: int) -> tuple[np.ndarray, np.ndarr
     return first, (second >> _U(32)).astype(np.uint32), owner, np.arange(len(owner)) - starts[owner]
 
 
+def _steps(sorted_cells: np.ndarray) -> bytes:
+    """Cells of a range as steps of 32 bits, low bytes before high bytes, which compresses well."""
+    return np.diff(sorted_cells, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_steps(packed: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(packed, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64))
+
+
+def _range_cells(width: int) -> int:
+    """Cells of a range, a multiple of 8."""
+    return -(-ROWS * width // (8 * RANGES)) * 8
+
+
 def _sketch_rows(hashes: np.ndarray, width: int) -> pa.RecordBatch:
     rows = []
     for row, cells in enumerate(_cells(hashes, width)):
-        cells, counts = np.unique(cells.astype(np.int64) + row * width, return_counts=True)
-        rows += [(s, pack_offsets(at[~many]), pack_offsets(at[many])) for s, at, many in by_segment(cells, counts > 1)]
+        cells, counts = np.unique((cells + _U(row * width)).astype(np.uint32), return_counts=True)   # MOST_BITS is below 2**32
+        rows += [(s, _steps(at[~many]), _steps(at[many])) for s, at, many in by_segment(cells, counts > 1, size=_range_cells(width))]
     return pa.RecordBatch.from_arrays(
         [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names=["segment", "once", "more"])
 
 
 def repeated_cells(docs: DataFrame, width: int, size: int) -> DataFrame:
-    """Merged sketch: (segment, bits), a bit for each cell counted twice or more."""
+    """Merged sketch: (segment, bits) by range, a bit for each cell counted twice or more."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
         for batch in batches:
@@ -75,22 +90,22 @@ def repeated_cells(docs: DataFrame, width: int, size: int) -> DataFrame:
             yield _sketch_rows(np.concatenate(held), width)
 
     def add(counts: np.ndarray, piece: dict) -> None:
-        one = unpack_offsets(piece["once"])
+        one = _from_steps(piece["once"])
         counts[one] = np.minimum(counts[one] + 1, 2)
-        counts[unpack_offsets(piece["more"])] = 2
+        counts[_from_steps(piece["more"])] = 2
 
     parts = docs.select("text").mapInArrow(count, "segment int, once binary, more binary")
-    return merged(parts, np.uint8, add, lambda counts: np.packbits(counts > 1, bitorder="little").tobytes())
+    return merged(parts, np.uint8, add, lambda counts: np.packbits(counts > 1, bitorder="little").tobytes(), _range_cells(width))
 
 
 def _width(docs: DataFrame) -> int:
     total = docs.select(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    return max(SEGMENT, min(2 * int(total) // WORD_BYTES, MOST_BITS // ROWS))
+    return max(1 << 16, min(2 * int(total) // WORD_BYTES, MOST_BITS // ROWS))
 
 
 def _bitmap(docs: DataFrame, width: int, size: int) -> bytes:
     """The merged sketch as one bitmap; its size is bounded by ``MOST_BITS``."""
-    return gather(repeated_cells(docs, width, size), ROWS * width // SEGMENT + 1, SEGMENT // 8)
+    return gather(repeated_cells(docs, width, size), RANGES, _range_cells(width) // 8)
 
 
 _HITS = pa.schema([("h1", pa.int64()), ("rest", pa.int64()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("settled", pa.binary())])
