@@ -6,11 +6,13 @@ import bisect
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quillgraph.functions.arrays import bind, explode_indexed
-from quillgraph.functions.text import normalize_ws
+from quillgraph.functions.text import block_id, normalize_ws
+from quillgraph.operators import editing, entities, graph, relations
 from quillgraph.operators.chunking import split_by_tokens
+from quillgraph.session import materialise
 
 #: Characters by which a chunk is first looked for in the new text.
 ANCHOR = 12
@@ -133,8 +135,8 @@ def added_chunks(gaps: DataFrame, old_chunks: DataFrame, **settings: int) -> Dat
         F.filter("_g", lambda x: x["gap_no"] < g), F.lit(0).cast("long"), lambda a, x: a + x["_n"]))
     return (
         split.join(counts, "doc_id").join(top, "doc_id", "left")
-        .withColumn("seq", (F.coalesce("_top", F.lit(0)) + before + F.col("ordinal")).cast("int"))
-        .select("doc_id", F.col("seq").alias("ordinal"), "bid", "text", "n_tokens")
+        .withColumn("ordinal", (F.coalesce("_top", F.lit(0)) + before + F.col("ordinal")).cast("int"))
+        .select("doc_id", "ordinal", block_id(F.col("doc_id"), F.col("ordinal"), F.col("text")).alias("bid"), "text", "n_tokens")
     )
 
 
@@ -149,6 +151,39 @@ def apply_update(tables: dict[str, DataFrame], marked: DataFrame,
     return out
 
 
+def update_documents(stored: dict[str, DataFrame], incoming: DataFrame, gazetteer: DataFrame, versions: DataFrame, at: Column,
+                     label: str = "lang", **settings: int) -> dict[str, DataFrame]:
+    """Bring a stored graph to new texts of its documents (doc_id, text, label column).
+
+    ``stored`` has documents, chunks, chunk_entities and relations.  A document whose text is the
+    same is left alone.  Of the others the kept chunks stay with all that was found in them, the
+    rest goes, and only the new text is chunked and searched; each gets a version before and
+    after.  Returns the stored tables, entity_labels, edges and nodes anew, and the versions.
+    A document that was not stored is all new text.
+    """
+    texts = incoming.join(is_unchanged(stored["documents"], incoming).filter("not unchanged").select("doc_id"), "doc_id", "left_semi")
+    texts = materialise(texts)
+    changed = texts.select("doc_id")
+    old = stored["chunks"].join(changed, "doc_id", "left_semi")
+    marked, gaps = diff_chunks(old, texts)
+    marked = materialise(marked)
+    fresh = added_chunks(gaps, old, **settings).join(texts.select("doc_id", label), "doc_id")
+    fresh = materialise(fresh)
+    met = materialise(entities.mentions(fresh, gazetteer, label=label))
+    whole = lambda name, rows: rows.select(*stored[name].columns)
+    added = {"chunks": whole("chunks", fresh), "chunk_entities": whole("chunk_entities", entities.first_mentions(met)),
+             "relations": whole("relations", relations.extract_relations_baseline(fresh, met))}
+    out = apply_update({name: stored[name] for name in added}, marked, added)
+    columns = stored["documents"].columns
+    out["documents"] = stored["documents"].join(changed, "doc_id", "left_anti").unionByName(texts.select(*columns))
+    out["entity_labels"] = entities.build_entity_labels(out["chunk_entities"])
+    out["edges"] = graph.build_edges(out["relations"])
+    out["nodes"] = graph.build_nodes(out["edges"], out["entity_labels"])
+    out["versions"] = versions.unionByName(editing.commit_version(
+        changed.select("doc_id", F.lit("incremental_update").alias("operation"), at.alias("created_at")), versions))
+    return out
+
+
 def is_unchanged(old: DataFrame, new: DataFrame) -> DataFrame:
     """Per document of ``new``: whether the stored text is the same."""
     digest = lambda df, into: df.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias(into))

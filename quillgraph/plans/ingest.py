@@ -10,9 +10,10 @@ from quillgraph.functions import text as tx
 from quillgraph.operators import chunking, entities, relations, responses
 from quillgraph.plans import sql
 from quillgraph.plans.registry import query
-from quillgraph.plans.tables import Tables
+from quillgraph.plans.tables import LINE_TOKENS, Tables
 from quillgraph.session import work_dir
 from quillgraph.sources import chats, corpus, layout, markdown, packages, store
+from quillgraph.streaming import ingest as live
 
 WS = sql.WS
 
@@ -43,15 +44,51 @@ def upload_checks(t: Tables) -> DataFrame:
     SELECT doc_id, '.txt' AS ext, 'utf-8' AS encoding, length(text) AS n_chars, md5(text) AS digest FROM documents""")
 def read_corpus_files(t: Tables) -> DataFrame:
     """The documents written out as one text file each, and read back through the file reader."""
-    folder = f"{work_dir(t.spark)}/files-{uuid.uuid4().hex}"
-    t.documents.select(F.col("doc_id").alias("number"), F.col("text").alias("value")).write.partitionBy("number").text(folder)
+    folder = _as_files(t, t.documents)
     found = corpus.decode_text(corpus.read_corpus(t.spark, folder, (".txt",)))
-    body = F.left("text", F.length("text") - 1)   # the writer ends every file with a newline
+    head = F.instr("text", "\n")                   # the first line is the document's number,
+    body = F.substr("text", head + 1, F.length("text") - head - 1)   # and the writer ends every file with a newline
     return found.select(
-        F.regexp_extract("doc_id", r"^number=(\d+)/", 1).cast("long").alias("doc_id"), "ext", "encoding",
+        F.left("text", head - 1).cast("long").alias("doc_id"), "ext", "encoding",
         F.length(body).alias("n_chars"), F.md5(body.cast("binary")).alias("digest"))
 
 
+def _as_files(t: Tables, docs: DataFrame, kind: str = "text", folder: str | None = None) -> str:
+    """One file per document, all in one folder per writing task: its number in the first line, then the text."""
+    folder = folder or f"{work_dir(t.spark)}/files-{uuid.uuid4().hex}"
+    docs.select(F.concat(F.col("doc_id").cast("string"), F.lit("\n"), "text").alias("value")).write.option(
+        "maxRecordsPerFile", 1).mode("append").format(kind).save(folder)
+    return folder
+
+
+# The first line of a file is its document's number and becomes its first chunk.
+_FILES = {"chunks": f"""
+    SELECT doc_id, 'any' AS lang, ordinal + 1 AS ordinal, text, doc_id || '-' || ordinal AS bid FROM ({sql.body('chunks')}) WHERE lang <> 'de'""",
+          "gaz": r"""
+    SELECT DISTINCT 'any' AS type, name, 2 AS doc_freq FROM (
+      SELECT lang, name FROM (SELECT DISTINCT doc_id, lang, unnest(regexp_extract_all(lower(text), '\p{L}{8,}')) AS name FROM documents)
+      GROUP BY lang, name HAVING count(*) >= 2)"""}
+
+
+@query("streamed_ingest", sql.using("edges", given=_FILES) + """
+    SELECT graph_id AS doc_id, source, target, weight FROM edges
+    UNION ALL SELECT NULL, 'refused', 'unsupported_type', count(*) FROM documents WHERE lang = 'de' HAVING count(*) > 0""")
+def streamed_ingest(t: Tables) -> DataFrame:
+    """Documents arrive as files and become stored graphs; German ones come as a kind of file that is refused."""
+    root = f"{work_dir(t.spark)}/ingest-{uuid.uuid4().hex}"
+    inbox = _as_files(t, t.documents.filter("lang <> 'de'"), folder=f"{root}/in")
+    _as_files(t, t.documents.filter("lang = 'de'"), "csv", inbox)
+    store_ = store.KnowledgeBase(t.spark, f"{root}/kb", parts=8)
+    terms = t.gazetteer.select("name").distinct().select(F.lit("any").alias("type"), "name")
+    lines = lambda docs: chunking.split_by_separator(docs, "\n", max_tokens=LINE_TOKENS)
+    live.stream_ingest(t.spark, inbox, store_, f"{root}/checkpoint", terms, label="any", files_per_batch=5000, split=lines).awaitTermination()
+    numbers = store_.load("chunks").filter("ordinal = 1").select("doc_id", F.col("text").cast("long").alias("number"))
+    edges = store_.load("edges").join(numbers, "doc_id").select(F.col("number").alias("doc_id"), "source", "target", "weight")
+    refused = store_.load("rejected_files").groupBy("reject_reason").agg(F.count("*").cast("double").alias("weight")).select(
+        F.lit(None).cast("long").alias("doc_id"), F.lit("refused").alias("source"), F.col("reject_reason").alias("target"), "weight")
+    return edges.unionByName(refused)
+
+
 @query("decode_text", """
     SELECT doc_id, CASE lang WHEN 'en' THEN 'utf-8' WHEN 'fr' THEN 'utf-8-sig' WHEN 'de' THEN 'utf-16'
                              ELSE 'utf-32' END AS encoding, length(text) AS n_chars, md5(text) AS digest

@@ -110,19 +110,29 @@ _PARTS: list[tuple[str, tuple[str, ...], str]] = [
 _BY_NAME = {name: (needs, body) for name, needs, body in _PARTS}
 
 
-def using(*names: str, extra: str = "") -> str:
-    """A WITH clause that defines the named tables and everything they need."""
+def using(*names: str, extra: str = "", first: dict[str, str] | None = None, given: dict[str, str] | None = None) -> str:
+    """A WITH clause that defines the named tables and everything they need.
+
+    ``first`` are tables put before all others, ``given`` bodies that take the place of named ones.
+    """
+    given = given or {}
     wanted: set[str] = set()
 
     def need(name: str) -> None:
         if name not in wanted:
             wanted.add(name)
-            for other in _BY_NAME[name][0]:
+            for other in () if name in given else _BY_NAME[name][0]:
                 need(other)
 
     for name in names:
         need(name)
-    parts = [f"{name} AS MATERIALIZED ({body})" for name, _, body in _PARTS if name in wanted]
+    parts = [f"{name} AS MATERIALIZED ({body})" for name, body in (first or {}).items()]
+    parts += [f"{name} AS MATERIALIZED ({given.get(name, body)})" for name, _, body in _PARTS if name in wanted]
     if extra:
         parts.append(extra)
     return "WITH " + ", ".join(parts) + " "
+
+
+def body(name: str) -> str:
+    """The query behind one of the named tables."""
+    return _BY_NAME[name][1]

@@ -47,23 +47,74 @@ def chunk_diff(t: Tables) -> DataFrame:
     return marked.select("doc_id", "bid", "kept")
 
 
-@query("added_text", sql.using("chunks") + _NEW + """
-    , k AS (SELECT c.doc_id, list(c.n ORDER BY c.ordinal) FILTER (WHERE c.n <> '' AND contains(new.norm, c.n)) AS l
-            FROM (SELECT doc_id, ordinal, " + sql.norm("text") + " AS n FROM chunks) c JOIN new USING (doc_id) GROUP BY c.doc_id),
-    g AS (SELECT new.doc_id, string_split(CASE WHEN l IS NULL THEN norm ELSE list_reduce(l, lambda acc, c:
-            CASE WHEN instr(acc, c) > 0 THEN left(acc, instr(acc, c) - 1) || chr(1) || substr(acc, instr(acc, c) + length(c)) ELSE acc END, norm) END, chr(1)) AS parts
-          FROM new LEFT JOIN k ON k.doc_id = new.doc_id)
-    SELECT doc_id, unnest(range(len(gaps))) AS gap_no, md5(unnest(gaps)) AS digest FROM (
-      SELECT doc_id, list_filter(list_transform(parts, lambda p: trim(p)), lambda p: p <> '') AS gaps FROM g)""".replace('" + sql.norm("text") + "', sql.norm("text")))
+_OLD_CHUNKS = {"old_chunks": sql.body("chunks")}
+#: What is left of each new text when its kept chunks have taken their places, in order.
+_GAPS = f"""SELECT doc_id, list_filter(list_transform(parts, lambda p: trim(p)), lambda p: p <> '') AS gaps FROM (
+      SELECT new.doc_id, string_split(CASE WHEN l IS NULL THEN norm ELSE list_reduce(l, lambda acc, c:
+             CASE WHEN instr(acc, c) > 0 THEN left(acc, instr(acc, c) - 1) || chr(1) || substr(acc, instr(acc, c) + length(c)) ELSE acc END, norm) END, chr(1)) AS parts
+      FROM new LEFT JOIN (SELECT c.doc_id, list(c.n ORDER BY c.ordinal) FILTER (WHERE c.n <> '' AND contains(new.norm, c.n)) AS l
+        FROM (SELECT doc_id, ordinal, {sql.norm('text')} AS n FROM old_chunks) c JOIN new USING (doc_id) GROUP BY c.doc_id) k USING (doc_id))"""
+_CUT = sql.using(first=_OLD_CHUNKS) + _NEW.replace("FROM chunks", "FROM old_chunks") + f", g AS ({_GAPS})"
+
+
+@query("added_text", _CUT + """
+    SELECT doc_id, unnest(range(len(gaps))) AS gap_no, md5(unnest(gaps)) AS digest FROM g""")
 def added_text(t: Tables) -> DataFrame:
     _, gaps = incremental.diff_chunks(t.chunks, _new_docs(t))
     return gaps.select("doc_id", F.col("gap_no").cast("long").alias("gap_no"), _md5("text").alias("digest"))
 
 
-@query("added_chunks")
+# Every gap of these texts is below the token limit and gives one chunk.
+@query("added_chunks", _CUT + f"""
+    SELECT doc_id, ordinal, text, {sql.bid()} AS bid FROM (
+      SELECT g.doc_id, (coalesce(top, 0) + unnest(range(1, len(gaps) + 1)))::INT AS ordinal, unnest(gaps) AS text
+      FROM g LEFT JOIN (SELECT doc_id, max(ordinal) AS top FROM old_chunks GROUP BY doc_id) USING (doc_id))""")
 def added_chunks(t: Tables) -> DataFrame:
     _, gaps = incremental.diff_chunks(t.chunks, _new_docs(t))
-    return incremental.added_chunks(gaps, t.chunks, max_tokens=256, min_tokens=96)
+    return incremental.added_chunks(gaps, t.chunks, max_tokens=256, min_tokens=96).select("doc_id", "ordinal", "text", "bid")
+
+
+# French documents keep their text; the others keep some lines and gain two names that the graph knows.
+_CHANGED = {
+    **_OLD_CHUNKS,
+    "kept": "SELECT doc_id, string_agg(text, chr(10) ORDER BY ordinal) AS body FROM old_chunks WHERE md5(text) < 'c' GROUP BY doc_id",
+    "two": "SELECT doc_id, min(w) AS lo, max(w) AS hi FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\\p{L}{8,}')) AS w FROM documents) GROUP BY doc_id",
+    "new": f"""SELECT d.doc_id, {sql.norm("coalesce(body || chr(10), '') || coalesce('Lately ' || lo || ' joined ' || hi, 'Nothing new') || ' in ' || d.doc_id")} AS norm
+               FROM documents d LEFT JOIN kept USING (doc_id) LEFT JOIN two USING (doc_id) WHERE lang <> 'fr'""",
+    "g": _GAPS,
+}
+_UPDATED_CHUNKS = f"""
+    SELECT doc_id, lang, ordinal, text, bid FROM old_chunks c LEFT JOIN new USING (doc_id) WHERE norm IS NULL OR contains(norm, {sql.norm('text')})
+    UNION ALL SELECT doc_id, lang, ordinal, text, {sql.bid()} AS bid FROM (
+      SELECT g.doc_id, d.lang, (coalesce(top, 0) + unnest(range(1, len(gaps) + 1)))::INT AS ordinal, unnest(gaps) AS text
+      FROM g JOIN documents d USING (doc_id) LEFT JOIN (SELECT doc_id, max(ordinal) AS top FROM old_chunks GROUP BY doc_id) USING (doc_id))"""
+
+
+def _updated(t: Tables) -> dict[str, DataFrame]:
+    kept = t.chunks.filter(F.md5(F.col("text").cast("binary")) < "c").groupBy("doc_id").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("ordinal", "text"))), lambda r: r["text"]), "\n").alias("body"))
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{8,}"), F.lit(0))
+    told = F.coalesce(F.concat(F.lit("Lately "), F.array_min(words), F.lit(" joined "), F.array_max(words)), F.lit("Nothing new"))
+    edited = F.concat(F.coalesce(F.concat("body", F.lit("\n")), F.lit("")), told, F.lit(" in "), F.col("doc_id").cast("string"))
+    texts = t.documents.join(kept, "doc_id", "left").select(
+        "doc_id", "lang", F.when(F.col("lang") == "fr", F.col("text")).otherwise(edited).alias("text"))
+    stored = {"documents": t.documents.select("doc_id", "lang", "text"), "chunks": t.chunks, "chunk_entities": t.chunk_entities, "relations": t.relations}
+    none = t.documents.limit(0).select("doc_id", F.lit(1).alias("revision"), F.lit("").alias("operation"), F.to_timestamp(F.lit(STAMP)).alias("created_at"))
+    return incremental.update_documents(stored, texts, t.gazetteer, none, F.to_timestamp(F.lit(STAMP)), max_tokens=256, min_tokens=96)
+
+
+@query("incremental_update", sql.using("edges", first=_CHANGED, given={"chunks": _UPDATED_CHUNKS}) + """
+    SELECT graph_id, source, target, edge_id, weight FROM edges""")
+def incremental_update(t: Tables) -> DataFrame:
+    """The graph after an update of most texts: equal to the graph of the updated chunks."""
+    return _updated(t)["edges"].select("graph_id", "source", "target", "edge_id", "weight")
+
+
+@query("update_versions", """
+    SELECT doc_id, k::INT AS revision, CASE k WHEN 1 THEN 'before:' ELSE '' END || 'incremental_update' AS operation
+    FROM documents, (VALUES (1), (2)) AS x(k) WHERE lang <> 'fr'""")
+def update_versions(t: Tables) -> DataFrame:
+    return _updated(t)["versions"].select("doc_id", "revision", "operation")
 
 
 @query("applied_update", sql.using("chunks", "rel") + _NEW + f"""

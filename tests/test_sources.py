@@ -90,7 +90,7 @@ def test_chat_export(spark):
     assert [r.text for r in split] == ["甲:你好", "乙:卡片"]
 
 
-def test_knowledge_base_versions(spark, tmp_path):
+def test_knowledge_base_replaces_and_deletes(spark, tmp_path):
     kb = KnowledgeBase(spark, str(tmp_path / "kb"))
     assert kb.load("chunks") is None
     rows = lambda *r: spark.createDataFrame(list(r), "doc_id string, bid string, text string")
@@ -101,9 +101,20 @@ def test_knowledge_base_versions(spark, tmp_path):
     assert got == [("a", "9"), ("b", "1"), ("b", "2")]
     kb.delete(rows(("b", "", "")))
     assert [r.doc_id for r in kb.load("chunks").collect()] == ["a"]
-    # Rows of a write that never committed stay invisible.
-    rows(("z", "1", "lost")).write.parquet(str(tmp_path / "kb/chunks/version=99"))
-    assert [r.doc_id for r in kb.load("chunks").collect()] == ["a"]
+    kb.delete(rows(("a", "", "")))   # a part that has lost all its rows is empty too
+    assert kb.load("chunks").count() == 0 and kb.load("edges") is None
+    kb.save({"chunks": rows(("a", "3", "again"))})
+    kb.save({"chunks": rows(("a", "3", "again"))})
+    assert [tuple(r) for r in kb.load("chunks").collect()] == [("a", "3", "again")]
+
+
+def test_replaced_documents_leave_every_given_table(spark, tmp_path):
+    kb = KnowledgeBase(spark, str(tmp_path / "kb"), parts=2)
+    rows = lambda *r: spark.createDataFrame(list(r), "doc_id string, v string")
+    kb.save({"chunks": rows(("a", "1"), ("b", "1")), "edges": rows(("a", "e"), ("b", "e"))})
+    kb.save({"chunks": rows(("a", "2")), "edges": rows()})
+    assert sorted(map(tuple, kb.load("edges").collect())) == [("b", "e")]
+    assert sorted(map(tuple, kb.load("chunks").collect())) == [("a", "2"), ("b", "1")]
 
 
 def test_only_new_chunks_are_embedded(spark):

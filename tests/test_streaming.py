@@ -37,16 +37,6 @@ def test_stream_equals_batch(spark, tmp_path):
     assert refused == {("one.png", "unsupported_type"), ("two.png", "unsupported_type")}
 
 
-def test_interrupted_save_is_repeated(spark, tmp_path):
-    kb = KnowledgeBase(spark, str(tmp_path / "kb"))
-    status = lambda text: spark.createDataFrame([("d", text)], "doc_id string, state string")
-    kb.save({"status": status("old")})
-    status("torn").write.parquet(str(tmp_path / "kb/status/version=2"))   # written, but never entered
-    assert [r.state for r in kb.load("status").collect()] == ["old"]
-    assert kb.save({"status": status("new")}) == 2
-    assert [r.state for r in kb.load("status").collect()] == ["new"]
-
-
 def test_stream_progress_equals_batch(spark, tmp_path):
     rows = [("j", i, s, c, 4, sec) for i, (s, c, sec) in enumerate([
         ("entity_extraction", 1, 2.0), ("entity_extraction", 1, 5.0), ("entity_extraction", 2, 1.5),
