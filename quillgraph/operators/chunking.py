@@ -281,11 +281,13 @@ def route_splitter(docs: DataFrame, routing: dict[str, set[str]], ext: str = "ex
 
 
 def split_routed(docs: DataFrame, routing: dict[str, set[str]],
-                 splitters: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
-    """Run each family's splitter on its own documents."""
+                 splitters: dict[str, Callable[[DataFrame, int, int], DataFrame]],
+                 max_tokens: int | None = None, min_tokens: int | None = None) -> DataFrame:
+    """Run each family's splitter on its own documents, with the checked chunk settings."""
+    top, bottom = normalize_chunk_settings(max_tokens, min_tokens)
     labelled = route_splitter(docs, routing)
     parts = [
-        split(labelled.filter(F.col("splitter") == family)) for family, split in splitters.items()
+        split(labelled.filter(F.col("splitter") == family), top, bottom) for family, split in splitters.items()
     ]
     merged = parts[0]
     for part in parts[1:]:

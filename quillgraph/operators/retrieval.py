@@ -35,9 +35,10 @@ def _terms(text: Column) -> Column:
 def hashed_term_vector(text: Column, dim: int = DEFAULT_DIM) -> Column:
     """Offline embedding: term counts in ``dim`` hash buckets, scaled to length one."""
     bucket = lambda t: (F.conv(F.substring(F.md5(t.cast("binary")), 1, 8), 16, 10).cast("long") % dim).cast("int")
+    # Removing a number from an array of integers is one plain loop; a filter would call an expression for each term.
     counts = bind(F.transform(_terms(text), bucket), lambda bs: F.transform(
         F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda d: F.size(F.filter(bs, lambda b: b == d)).cast("double")))
+        lambda d: (F.size(bs) - F.size(F.array_remove(bs, d))).cast("double")))
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
     return bind(counts, lambda v: bind(norm(v), lambda n: F.transform(
         v, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0)))))

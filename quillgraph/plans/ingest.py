@@ -205,12 +205,11 @@ def _messages(t: Tables) -> DataFrame:
 
 
 @query("chat_export", """
-    SELECT conv_id AS doc_id, turn // 4096 AS segment,
-           md5(string_agg(role || ':' || text, chr(10) ORDER BY turn)) AS digest
+    SELECT conv_id AS doc_id, md5(string_agg(role || ':' || text, chr(10) ORDER BY turn)) AS digest
     FROM conversations
-    WHERE turn % 3 = 2 OR (role <> 'system' AND turn <> 0) GROUP BY 1, 2""")
+    WHERE turn % 3 = 2 OR (role <> 'system' AND turn <> 0) GROUP BY 1""")
 def chat_export(t: Tables) -> DataFrame:
-    return chats.chat_export_to_text(_messages(t)).select("doc_id", "segment", _md5("text").alias("digest"))
+    return chats.chat_export_to_text(_messages(t)).select("doc_id", _md5("text").alias("digest"))
 
 
 @query("knowledge_base_upsert", sql.using("chunks") + """
@@ -296,11 +295,10 @@ def rag_history(t: Tables) -> DataFrame:
 
 
 @query("processed_text", sql.using("chunks") + """
-    SELECT doc_id, ordinal // 4096 AS segment, md5(string_agg(text, chr(10) || chr(10) ORDER BY ordinal)) AS digest
-    FROM chunks GROUP BY 1, 2""")
+    SELECT doc_id, md5(string_agg(text, chr(10) || chr(10) ORDER BY ordinal)) AS digest FROM chunks GROUP BY 1""")
 def processed_text(t: Tables) -> DataFrame:
-    joined = chats.join_segments(t.chunks, "doc_id", "ordinal", "text", "\n\n")
-    return joined.select("doc_id", "segment", _md5("text").alias("digest"))
+    joined = chats.join_rows(t.chunks, "doc_id", "ordinal", "text", "\n\n")
+    return joined.select("doc_id", _md5("text").alias("digest"))
 
 
 # -- chunking -----------------------------------------------------------------
@@ -379,8 +377,8 @@ def routed_chunks(t: Tables) -> DataFrame:
     docs = t.documents.select("doc_id", F.concat(F.lit("."), "lang").alias("ext"), "text")
     routing = {"simple": {".en"}, "character": {".fr", ".de", ".es"}}
     done = chunking.split_routed(docs, routing, {
-        "simple": lambda d: chunking.split_by_tokens(d, 256, 96),
-        "character": lambda d: chunking.split_by_separator(d, "\n", max_tokens=32_768)})
+        "simple": chunking.split_by_tokens,
+        "character": lambda d, top, low: chunking.split_by_separator(d, "\n", max_tokens=32_768)}, max_tokens=256, min_tokens=96)
     return done.groupBy("doc_id", "splitter").agg(F.sum("n_tokens").alias("n_tokens"))
 
 
@@ -637,10 +635,10 @@ def formatted_fusion(t: Tables) -> DataFrame:
 
 
 @query("fusion_input", sql.using("rel") + """
-    SELECT doc_id, least(source, target) AS a, greatest(source, target) AS b, ordinal // 4096 AS part, count(*) AS n_relations,
+    SELECT doc_id, least(source, target) AS a, greatest(source, target) AS b, 0 AS part, count(*) AS n_relations,
       md5('实体1：' || least(source, target) || chr(10) || '实体2：' || greatest(source, target) || chr(10) || '现有关系：' || chr(10)
           || string_agg('- ' || relation || '（上下文：' || context || '，权重：' || weight || '）' || chr(10), '' ORDER BY ordinal, rel_idx)) AS digest
-    FROM rel GROUP BY 1, 2, 3, 4""")
+    FROM rel GROUP BY 1, 2, 3""")
 def fusion_input(t: Tables) -> DataFrame:
     return relations.render_fusion_input(t.relations).select("doc_id", "a", "b", "part", "n_relations", _md5("text").alias("digest"))
 

@@ -22,21 +22,14 @@ def chat_lines(messages: DataFrame) -> DataFrame:
     )
 
 
-def join_segments(rows: DataFrame, key: str, pos: str, text: str, sep: str,
-                  per_segment: int = 4096) -> DataFrame:
-    """Join ordered rows into text, at most ``per_segment`` positions in one cell.
-
-    A document short enough for one segment is one row; a longer one continues
-    in the next segments, so no group grows with the document.
-    """
+def join_rows(rows: DataFrame, key: str, pos: str, text: str, sep: str) -> DataFrame:
+    """Join a document's ordered rows into its text; a document is one cell, whatever its length."""
     return (
-        rows.withColumn("segment", F.floor(F.col(pos) / per_segment).cast("int"))
-        .groupBy(key, "segment")
+        rows.groupBy(key)
         .agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(text).alias("t")))).alias("_rows"))
-        .select(key, "segment", F.array_join(F.transform("_rows", lambda r: r.t), sep).alias(text))
+        .select(key, F.array_join(F.transform("_rows", lambda r: r.t), sep).alias(text))
     )
 
 
-def chat_export_to_text(messages: DataFrame, per_segment: int = 4096) -> DataFrame:
-    lines = chat_lines(messages)
-    return join_segments(lines, "doc_id", "pos", "line", "\n", per_segment).withColumnRenamed("line", "text")
+def chat_export_to_text(messages: DataFrame) -> DataFrame:
+    return join_rows(chat_lines(messages), "doc_id", "pos", "line", "\n").withColumnRenamed("line", "text")

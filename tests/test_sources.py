@@ -86,8 +86,6 @@ def test_chat_export(spark):
         ("c", 1, 0, "甲", "你好"), ("c", 2, 0, "甲", "[系统消息]x"), ("c", 3, 24, "乙", "卡片"), ("c", 4, 5, "乙", "no")],
         "doc_id string, pos int, type int, account string, content string")
     assert chats.chat_export_to_text(df).first().text == "甲:你好\n乙:卡片"
-    split = chats.chat_export_to_text(df, per_segment=2).orderBy("segment").collect()
-    assert [r.text for r in split] == ["甲:你好", "乙:卡片"]
 
 
 def test_knowledge_base_replaces_and_deletes(spark, tmp_path):
