@@ -21,8 +21,8 @@ from quillgraph.llm.textkit import Words, as_bytes, partitions, slices, unique_p
 
 SHINGLE_WORDS = 5
 
-#: One of so many hashes is kept.
-FRACTION = 2
+#: One of so many hashes is kept: 16 hexadecimal digits for every fourth word, less than the words themselves.
+FRACTION = 4
 #: So many of the smallest hashes are kept in any case.
 LEAST = 64
 
@@ -115,7 +115,7 @@ def _bucket(key: Column, cuts: list[int]) -> Column:
     return number(key)
 
 
-def with_next(docs: DataFrame, bucket_rows: int = 4096) -> DataFrame:
+def with_next(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, text) dealt by range of the id and sorted, each range closed by the first row of the next.
 
     Columns: bucket, guest (True for that closing row), k (the id; null first), text.
