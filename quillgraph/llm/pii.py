@@ -4,7 +4,8 @@ Validated numbers and dates go through a keyed Feistel permutation of their own
 format: card numbers (the check digit is made anew), phone numbers, social
 security numbers, IPv4 addresses, dates of 1900-2099.  Equal values get equal
 pseudonyms in every document, different values different ones, and the holder of
-the key can turn them back.  Mail addresses have no fixed format to permute; they
+the key can turn them back.  yyyy-MM-dd and MM/dd/yyyy move a day alike; dd/MM/yyyy is what cannot be read
+with the month first, and stays so.  Mail addresses have no fixed format to permute; they
 become a keyed digest at a reserved domain.  DataFrame functions only.
 """
 
@@ -177,15 +178,17 @@ def _ipv4(text: Column, key: str) -> Column:
 
 def _date(text: Column, key: str) -> Column:
     permute = lambda v: feistel(v, DAY_HALVES, key, "date")
+    day_of = lambda v: F.date_add(F.lit(FIRST_DAY).cast("date"), v.cast("int"))
+    known = lambda v: v < DAYS
+    # A day up to 12 before the month would be read as a month: these dates are permuted among themselves.
+    late = lambda v: (v < DAYS) & (F.dayofmonth(day_of(v)) > 12)
 
-    def moved(day: Column, form: str) -> Column:
-        number = F.datediff(day, F.lit(FIRST_DAY).cast("date")).cast("long")
-        return F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), walk(number, permute, lambda v: v < DAYS).cast("int")), form)
+    def in_form(form: str, valid: Callable[[Column], Column]) -> Column:
+        number = lambda d: F.datediff(d, F.lit(FIRST_DAY).cast("date")).cast("long")
+        return bind(F.try_to_date(text, form), lambda d: F.when(
+            d.isNotNull(), F.date_format(day_of(walk(number(d), permute, valid)), form)))
 
-    def in_form(form: str) -> Column:
-        return bind(F.try_to_date(text, form), lambda d: F.when(d.isNotNull(), moved(d, form)))
-
-    return F.coalesce(*map(in_form, ("yyyy-MM-dd", "MM/dd/yyyy", "dd/MM/yyyy")), text)
+    return F.coalesce(in_form("yyyy-MM-dd", known), in_form("MM/dd/yyyy", known), in_form("dd/MM/yyyy", late), text)
 
 
 def _email(text: Column, key: str) -> Column:
