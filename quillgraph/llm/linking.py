@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from quillgraph.llm.scratch import Scratch
 from quillgraph.session import materialise
 
 
-def connected(links: DataFrame) -> DataFrame:
+def connected(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, component) for every node of the links (a, b); the component is its smallest node.
 
     Alternates large-star and small-star steps until the links are stars around the
@@ -26,6 +27,8 @@ def connected(links: DataFrame) -> DataFrame:
         small = met.select("u", F.col("m").alias("v")).unionByName(
             met.select(F.col("v").alias("u"), F.col("m").alias("v"))).filter("u <> v").distinct()
         state = materialise(small, replaces=state)
+    if scratch is not None:
+        scratch.keep(state)
     roots = state.select(F.col("v").alias("node")).distinct()
     return state.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         roots.withColumn("component", F.col("node")))

@@ -130,9 +130,10 @@ def codes_of(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 class Membership:
     """Filter by a bitmap of key hashes: never leaves out a key that is there."""
 
-    def __init__(self, keys: DataFrame, key: Column, bits: int | None = None):
+    def __init__(self, keys: DataFrame, key: Column, bits: int | None = None, hashed: bool = False):
+        """``hashed``: the key is a number whose remainder by the number of bits is its cell; else it is hashed."""
         bits = bits or _fitting(KEY_BITS * keys.count(), BITS)
-        hashed = keys.select(F.pmod(F.xxhash64(key), F.lit(bits)).alias("cell"))
+        hashed = keys.select(F.pmod(key if hashed else F.xxhash64(key), F.lit(bits)).alias("cell"))
 
         def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held, total = [], 0
