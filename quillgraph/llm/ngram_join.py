@@ -5,14 +5,18 @@ of bounded size; of each group its token union and sizes are kept, and a documen
 opens a group only if the union can hold enough of its shingles.
 
 1. Equal sets become one node, named by the smallest doc_id.
-2. Two sets above the threshold share a shingle of their prefixes (the rarest
-   shingles, one more than may be missing).  Shingles that lie in one prefix only
+2. Two sets above the threshold share two shingles of their prefixes (the rarest
+   shingles, two more than may be missing).  Shingles that lie in one prefix only
    are dropped; nodes without any other have no link.
 3. The groups compare their own members; leaders of groups cut from one large class are
    compared again.  What is connected so far is one component.
 4. The token-group matrix (shingle, group) of prefix shingles that still lie in
-   several components names the groups of larger components that a node may open.  In an
-   opened group the whole union gives the bound, and only if it suffices are the members compared.
+   several components names the groups of larger components that a node may open: sizes,
+   places in the prefixes and the number of shared shingles must allow it.  The stored union
+   of a group's shingles then bounds the overlap, and only if it suffices is the group opened
+   and its members compared.
+5. First every shingle offers only its group of the largest component, which joins the parts
+   of a class of near copies; what is in several components after that asks all groups.
 
 Links inside a component cannot change the result and are not looked for, so a class
 of thousands of near copies costs one comparison with its group each, not all pairs.
@@ -27,12 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quillgraph.llm.linking import connected
-from quillgraph.llm.sketches import Membership, codes_of, frequency_codes
-from quillgraph.llm.textkit import Words, as_bytes, run_hashes, slices, spread, unique_per_owner
+from quillgraph.llm.scratch import Scratch
+from quillgraph.llm.sketches import codes_of, frequency_codes
+from quillgraph.llm.textkit import Words, as_bytes, partitions, run_hashes, slices, spread, unique_per_owner
 from quillgraph.session import materialise
 
 GROUP_NODES = 128       # members of a group, about
 GROUP_QUERIES = 256     # documents that open a group in one task, about
+UNION_TEXTS = 16        # texts of a group whose sets are held at a time
 COLUMNS = 1 << 13       # shingles of a comparison held as a dense block
 SEED = 31
 
@@ -42,9 +48,19 @@ def _sets(texts: list[bytes | None], size: int) -> tuple[np.ndarray, np.ndarray]
     return unique_per_owner(*Words(texts, lower=True).shingles(size, SEED))
 
 
-def shingle_table(docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _by_rarity(hashes: np.ndarray, owner: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Order by owner, then rarity, then hash."""
+    key = (owner.astype(np.uint64) << np.uint64(40)) | (code.astype(np.uint64) << np.uint64(32)) | (hashes >> np.uint64(32))
+    order = np.argsort(key)
+    tied = key[order]
+    if owner.size and (owner[-1] >= 1 << 24 or (tied[1:] == tied[:-1]).any()):   # rarely: the whole hashes decide
+        order = np.lexsort((hashes, code, owner))
+    return order
+
+
+def shingle_table(docs: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
     """Per row: set size, two hashes of the set, its smallest hash, and its prefix, rarest first."""
-    codes = docs.sparkSession.sparkContext.broadcast(frequency_codes(docs, lambda t: _sets(t, size)[0]))
+    codes = scratch.share(docs, frequency_codes(docs, lambda t: _sets(t, size)[0]))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(codes.value, np.uint8)
@@ -56,8 +72,8 @@ def shingle_table(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 bounds = np.searchsorted(owner, np.arange(count + 1))
                 n = np.diff(bounds)
                 keys = [run_hashes(hashes, bounds[:-1], bounds[1:], s).view(np.int64) for s in (1, 2)]
-                order = np.lexsort((hashes, codes_of(table, hashes), owner))
-                prefix = np.where(n > 0, n - (n * percent + 99) // 100 + 1, 0)
+                order = _by_rarity(hashes, owner, codes_of(table, hashes))
+                prefix = np.minimum(n - (n * percent + 99) // 100 + 2, n)
                 rank = np.arange(len(owner)) - np.repeat(bounds[:-1], n)
                 chosen = hashes[order][rank < np.repeat(prefix, n)].view(np.int64)
                 low = np.zeros(count, np.int64)
@@ -134,16 +150,68 @@ def _within(groups: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     return members.groupBy("gid").applyInArrow(compare, "node bigint, leader bigint")
 
 
-def _across(marked: DataFrame, groups: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """(a, b): links between components, found by opening groups through the token-group matrix."""
+def _unions(groups: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """(gid, shingles): the union of each group's sets as sorted hashes of 64 bits, packed."""
+    def join(table: pa.Table) -> pa.Table:
+        union = np.zeros(0, np.uint64)
+        for batch in table.to_batches(UNION_TEXTS):
+            union = np.union1d(union, np.concatenate(_split(as_bytes(batch.column("text")), size)))
+        return pa.table({"gid": table.column("gid").slice(0, 1), "shingles": pa.array([union.tobytes()], pa.binary())})
+
+    return groups.select("gid", "node").join(texts, "node").groupBy("gid").applyInArrow(join, "gid bigint, shingles binary")
+
+
+def _bounded(asked: DataFrame, unions: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The questions (node, gid) whose group's union holds enough of the node's shingles."""
+    def fits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        union, current = None, None
+        for batch in batches:
+            gids, packed = batch.column("gid").to_pylist(), batch.column("shingles")
+            sets = _split(as_bytes(batch.column("text")), size)
+            keep = []
+            for i, gid in enumerate(gids):
+                if gid != current or packed[i].is_valid:
+                    current, union = gid, np.frombuffer(packed[i].as_buffer(), np.uint64)
+                if not packed[i].is_valid and 100 * int(np.isin(sets[i], union, assume_unique=True).sum()) >= percent * len(sets[i]):
+                    keep.append(i)
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(keep, pa.int32())), batch.column("gid").take(pa.array(keep, pa.int32()))],
+                                             names=["node", "gid"])
+
+    # A group of many questions is dealt into parts, each with the union once.
+    parts = asked.groupBy("gid").agg(F.ceil(F.count("*") / GROUP_QUERIES).cast("int").alias("parts"))
+    heads = unions.join(parts, "gid").select(
+        "gid", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("bigint").alias("node"), F.lit(None).cast("string").alias("text"), "shingles")
+    rows = asked.join(parts, "gid").select("gid", F.pmod(F.xxhash64(F.lit(9), "node"), F.col("parts")).cast("int").alias("part"), "node").join(
+        texts, "node").select("gid", "part", "node", "text", F.lit(None).cast("binary").alias("shingles"))
+    ordered = heads.unionByName(rows).repartition(partitions(asked), "gid", "part").sortWithinPartitions(
+        "gid", "part", F.col("node").asc_nulls_first())
+    return ordered.mapInArrow(fits, "node bigint, gid bigint")
+
+
+def _across(marked: DataFrame, groups: DataFrame, texts: DataFrame, size: int, percent: int, best: bool, scratch: Scratch) -> DataFrame:
+    """(a, b): links between components, found by opening groups through the token-group matrix.
+
+    With ``best`` every shingle offers one group only, that of its largest component.
+    """
     # Of two components the smaller one's members ask, the larger one's groups are opened.
     rank = F.struct("comp_size", "comp")
     ends = marked.groupBy("token").agg(F.min(rank).alias("_lo"), F.max(rank).alias("_hi")).filter("_lo < _hi")
-    rows = materialise(marked.join(ends, "token").withColumns({"asks": rank < F.col("_hi"), "held": rank > F.col("_lo")}).drop("_lo", "_hi"))
+    rows = scratch.cut(marked.join(ends, "token").withColumns({"asks": rank < F.col("_hi"), "held": rank > F.col("_lo")}).drop("_lo", "_hi"))
+    cell = F.struct(rank.alias("top"), F.col("gid").alias("open"))
     matrix = rows.filter("held").groupBy("token", F.col("gid").alias("open")).agg(
-        F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.max(rank).alias("top"))
-    may = ((F.col("n_max") * 100 >= F.col("n") * percent) & (F.col("n_min") * percent <= 100 * F.col("n")) & (F.col("top") > rank))
-    asked = materialise(rows.filter("asks").join(matrix, "token").filter(may).select("node", F.col("open").alias("gid")).distinct())
+        F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.max("rest").alias("rest_max"), F.max(rank).alias("top"))
+    if best:
+        first = rows.filter("held").groupBy("token").agg(F.max(cell).alias("_b")).select("token", F.col("_b.open").alias("open"))
+        matrix = matrix.join(first, ["token", "open"], "leftsemi")
+    # The least overlap that a link with a member of allowed size needs; the second shared shingle leaves one place less.
+    least = F.greatest("n_min", F.call_function("div", F.col("n") * percent + 99, F.lit(100)))
+    need = F.call_function("div", (F.col("n") + least) * percent + (99 + percent), F.lit(100 + percent))
+    may = ((F.col("n_max") * 100 >= F.col("n") * percent) & (F.col("n_min") * percent <= 100 * F.col("n")) & (F.col("top") > rank)
+           & (F.least("rest", "rest_max") >= need - 1))
+    asked = scratch.cut(rows.filter("asks").join(matrix, "token").filter(may).groupBy("node", F.col("open").alias("gid")).agg(
+        F.count("*").alias("_shared"), F.min(need).alias("_need")).filter("_shared >= least(2, _need)").select("node", "gid"))
+    opened = groups.join(asked.select("gid").distinct(), "gid", "leftsemi")
+    asked = scratch.cut(_bounded(asked, scratch.cut(_unions(opened, texts, size)), texts, size, percent))
     parts = asked.groupBy("gid").agg(F.ceil(F.count("*") / GROUP_QUERIES).cast("int").alias("parts"))
     comps = groups.select("node", "comp")
     queries = asked.join(parts, "gid").select(
@@ -160,19 +228,15 @@ def _across(marked: DataFrame, groups: DataFrame, texts: DataFrame, size: int, p
         q, m = np.flatnonzero(asks), np.flatnonzero(~asks)
         out = []
         if len(q) and len(m):
-            union = np.unique(np.concatenate([sets[i] for i in m]))
-            held = np.array([np.isin(sets[i], union, assume_unique=True).sum() for i in q])
             n = np.array([len(s) for s in sets])
-            q = q[100 * held >= percent * n[q]]      # the bound: only these open the group
-            if len(q):
-                linked = _linked(overlaps([sets[i] for i in q], [sets[i] for i in m]), n[q], n[m], percent)
-                linked &= comp[q][:, None] != comp[m][None, :]
-                for i, hits in zip(q, linked):
-                    found = m[hits]
-                    out += [(ids[i], ids[j]) for j in found[np.unique(comp[found], return_index=True)[1]]]
+            linked = _linked(overlaps([sets[i] for i in q], [sets[i] for i in m]), n[q], n[m], percent)
+            linked &= comp[q][:, None] != comp[m][None, :]
+            for i, hits in zip(q, linked):
+                found = m[hits]
+                out += [(ids[i], ids[j]) for j in found[np.unique(comp[found], return_index=True)[1]]]
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
-    return both.groupBy("gid", "part").applyInArrow(search, "a bigint, b bigint")
+    return scratch.cut(both.groupBy("gid", "part").applyInArrow(search, "a bigint, b bigint"))
 
 
 def components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -184,24 +248,24 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     alone; rows without doc_id link with nothing and have no component; rows of one
     doc_id are one document, linked by what any of its texts is linked to.
     """
+    scratch = Scratch()
     docs = spread(docs.select("doc_id", "text"))
-    sets = materialise(shingle_table(docs, size, percent))
+    sets = materialise(shingle_table(docs, size, percent, scratch))
     usable = sets.filter("n > 0 and doc_id is not null")
-    nodes = usable.groupBy("k1", "k2").agg(
-        F.min("doc_id").alias("node"), F.any_value("n").alias("n"), F.any_value("low").alias("low"), F.any_value("prefix").alias("prefix"))
-    tokens = nodes.select("node", "n", F.explode("prefix").alias("token"))
+    nodes = usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"))
+    tokens = nodes.select("node", "n", F.posexplode("prefix").alias("_i", "token")).select("node", "n", "token", (F.col("n") - F.col("_i")).alias("rest"))
     repeated = tokens.groupBy("token").agg(F.min("node").alias("_a"), F.max("node").alias("_b")).filter("_a <> _b").select("token")
-    rows = materialise(tokens.join(repeated, "token"))
+    rows = scratch.cut(tokens.join(repeated, "token"))
     lows = usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.any_value("low").alias("low"))
-    wanted = materialise(rows.select("node").distinct().join(lows, "node").groupBy("node").agg(F.min("low").alias("low")))
-    near = Membership(wanted, F.col("node"))
-    texts = materialise(docs.filter(F.col("doc_id").isNotNull()).filter(near.has(F.col("doc_id"))).withColumnRenamed("doc_id", "node")
+    wanted = scratch.cut(rows.select("node").distinct().join(lows, "node").groupBy("node").agg(F.min("low").alias("low")))
+    near = scratch.members(wanted, F.col("node"))
+    texts = scratch.cut(docs.filter(F.col("doc_id").isNotNull()).filter(near.has(F.col("doc_id"))).withColumnRenamed("doc_id", "node")
                         .join(wanted.select("node"), "node", "leftsemi").dropDuplicates(["node", "text"]))
 
-    groups = materialise(_grouped(wanted))
+    groups = scratch.cut(_grouped(wanted))
     level, links = groups, None
     while True:
-        led = materialise(_within(level, texts, size, percent))
+        led = scratch.cut(_within(level, texts, size, percent))
         found = led.filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
         links = found if links is None else links.unionByName(found)
         chunked = level.filter("chunks > 1")
@@ -209,18 +273,20 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         before, after = chunked.count(), kept.count()
         if after in (0, before):
             break
-        level = materialise(_grouped(kept.select("node", "low")))
-    so_far = connected(links)
-    placed = materialise(groups.select("node", "gid").join(so_far, "node", "left").select(
-        "node", "gid", F.coalesce("component", "node").alias("comp")))
-    sized = placed.join(placed.groupBy("comp").agg(F.count("*").alias("comp_size")), "comp")
-    marked = rows.select("token", "node", "n").join(sized, "node")
-    links = links.unionByName(_across(materialise(marked), placed, texts, size, percent))
+        level = scratch.cut(_grouped(kept.select("node", "low")))
+    for best in (True, False):
+        so_far = connected(links, scratch)
+        placed = scratch.cut(groups.select("node", "gid").join(so_far, "node", "left").select(
+            "node", "gid", F.coalesce("component", "node").alias("comp")))
+        sized = placed.join(placed.groupBy("comp").agg(F.count("*").alias("comp_size")), "comp")
+        marked = scratch.cut(rows.select("token", "node", "n", "rest").join(sized, "node"))
+        links = links.unionByName(_across(marked, placed, texts, size, percent, best, scratch))
 
     # Rows of one document with different sets, and equal sets, belong together.
     own = usable.join(nodes.select("k1", "k2", "node"), ["k1", "k2"])
-    alike = materialise(own.select(F.col("doc_id").alias("a"), F.col("node").alias("b")).filter("a <> b"))
+    alike = scratch.cut(own.select(F.col("doc_id").alias("a"), F.col("node").alias("b")).filter("a <> b"))
     named = connected(links.unionByName(alike))
+    scratch.clear()
     return sets.select("doc_id", F.col("n").alias("n_shingles")).join(
         named.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
