@@ -108,10 +108,8 @@ def find_edges(edges: DataFrame, hints: DataFrame) -> DataFrame:
     By id, else by both ends in either direction, or by the one end given, with
     the relation name if there is one.  Blank fields are null.
     """
-    pack = F.struct(*edges.columns)
     base = edges.select(
-        "graph_id", "source", "target", "edge_id", "label", "first_at", pack.alias("_e"),
-        F.least("source", "target").alias("_lo"), F.greatest("source", "target").alias("_hi"))
+        "*", F.least("source", "target").alias("_lo"), F.greatest("source", "target").alias("_hi"))
     asked = hints.select(
         "hint_id", "graph_id", F.col("id").alias("_id"), F.col("source").alias("_s"),
         F.col("target").alias("_t"), F.col("relation").alias("_rel"),
@@ -127,7 +125,8 @@ def find_edges(edges: DataFrame, hints: DataFrame) -> DataFrame:
     ]
     found = None
     for priority, way in ways:
-        rows = way.select("hint_id", F.lit(priority).alias("_p"), "first_at", "edge_id", "_e")
+        rows = way.select("hint_id", F.lit(priority).alias("_p"), *[base[c] for c in edges.columns])
         found = rows if found is None else found.unionByName(rows)
-    return found.groupBy("hint_id").agg(F.min_by("_e", F.struct("_p", "first_at", "edge_id")).alias("_e")).select(
-        "hint_id", "_e.*")
+    # One minimum an attribute: those that nothing reads do not take part in the joins.
+    order = F.struct("_p", "first_at", "edge_id")
+    return found.groupBy("hint_id").agg(*[F.min_by(c, order).alias(c) for c in edges.columns])
