@@ -115,6 +115,20 @@ def test_replaced_documents_leave_every_given_table(spark, tmp_path):
     assert sorted(map(tuple, kb.load("chunks").collect())) == [("a", "2"), ("b", "1")]
 
 
+def test_new_documents_are_added_without_rewriting_stored_ones(spark, tmp_path):
+    kb = KnowledgeBase(spark, str(tmp_path / "kb"), parts=1)
+    rows = lambda *r: spark.createDataFrame(list(r), "doc_id string, v string")
+    files = lambda: {f for f in (tmp_path / "kb" / "chunks").rglob("*.parquet")}
+    kb.save({"chunks": rows(("a", "1"), ("b", "1"))})
+    first = files()
+    kb.save({"chunks": rows(("c", "1"), ("d", "1"))})
+    assert first < files()
+    # A repeated save, as after a failure, and one of stored and new documents replace what is there.
+    kb.save({"chunks": rows(("c", "1"), ("d", "1"))})
+    kb.save({"chunks": rows(("d", "2"), ("e", "1"))})
+    assert sorted(map(tuple, kb.load("chunks").collect())) == [("a", "1"), ("b", "1"), ("c", "1"), ("d", "2"), ("e", "1")]
+
+
 def test_only_new_chunks_are_embedded(spark):
     chunks = spark.createDataFrame([("d", f"b{i}", f"第{i}块") for i in (1, 2, 3)], "doc_id string, bid string, text string")
     stored = chunks.limit(0)
