@@ -29,6 +29,36 @@ def test_top_k_stays_in_document(spark):
     assert got == {"q": ["b19", "b18"], "r": ["x"]}
 
 
+def test_each_query_is_sent_once(spark):
+    vectors = spark.createDataFrame(
+        [("d", f"b{i}", [float(i), 1.0]) for i in range(20)], "doc_id string, bid string, embedding array<double>")
+    queries = spark.createDataFrame([("q", "d", [1.0, 0.0])], "query_id string, doc_id string, embedding array<double>")
+    found = retrieval.vector_top_k(queries, vectors, 2)
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    rows = lambda df: sorted(tuple(r) for r in df.select("query_id", "bid", "distance", "rank").collect())
+    assert rows(found) == rows(retrieval.vector_top_k(queries, vectors, 2, salts=4))
+
+
+def test_titles_are_put_in_behind_the_ranking(spark):
+    rel = spark.createDataFrame(
+        [("g", "b1", 1, i, s, t, "co", c, w, "extracted", None) for i, (s, t, c, w) in enumerate([
+            ("alpha", "beta", "alpha meets beta", 0.9), ("beta", "gamma", None, 0.8), ("alpha", "beta", "once more", 0.7),
+            ("gamma", "alpha", "far away", 0.1)])],
+        "doc_id string, bid string, ordinal int, rel_idx int, source string, target string, relation string, "
+        "context string, weight double, origin string, edit_id string")
+    whole, (keyed, titles) = graph.build_edges(rel), graph.keyed_edges(rel)
+    nodes = graph.build_nodes(keyed, None)
+    assert sorted(r.node for r in nodes.collect()) == ["alpha", "beta", "gamma"]
+    parts = nodes.select("graph_id", "node", F.lit(1).cast("long").alias("community_id"))
+    asked = spark.createDataFrame([("q", "g", "who is alpha")], "query_id string, graph_id string, question string")
+    vectors = retrieval.embed_chunks(spark.createDataFrame([("g", "b1", "alpha meets beta")], "doc_id string, bid string, text string"))
+    said = lambda e, **more: [r.prompt for r in retrieval.hybrid_retrieve(asked, nodes, e, parts, vectors, **more)["contexts"].collect()]
+    first = said(keyed, titles=titles)
+    assert first == said(whole) and "context:once more" in first[0] and "far away" not in first[0]
+    assert "title" not in retrieval.community_relations(
+        retrieval.link_query_entities(asked, nodes), parts, keyed).columns
+
+
 def test_rerank_by_score(spark):
     hits = spark.createDataFrame([("q", "one two", "b1", "nothing here", 0.1), ("q", "one two", "b2", "two of one", 0.9)],
                                  "query_id string, question string, bid string, text string, distance double")
