@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from quillgraph import schemas
 from quillgraph.functions import text as tx
 from quillgraph.functions.containment import contains_join
-from quillgraph.operators import chunking, communities, evidence, graph, incremental, progress, retrieval
+from quillgraph.operators import chunking, communities, entities, evidence, graph, incremental, progress, retrieval
 
 
 # -- retrieval -----------------------------------------------------------------
@@ -153,6 +153,26 @@ def test_highlights_and_reuse(spark):
     assert {r.bid: r.evidence_terms for r in again.collect()} == {"block-1": ["as stored"], "block-2": ["诸葛亮辅佐刘备"]}
 
 
+def test_refresh_works_out_its_sources_once(spark):
+    chunks, ents, rel = _kb(spark)
+    first = evidence.highlight_index(chunks, ents, rel)
+    stale = first.withColumn("signature", F.lit("older")).withColumn("entity_terms", F.array(F.lit("not these")))
+    again = evidence.refresh_highlights(stale.unionByName(first).unionByName(first), chunks, ents, rel)
+    plan = again._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list(struct(rel_idx") == 4  # the three parts of the stored index, and the refresh
+    assert sorted((r.bid, r.entity_terms, r.reused) for r in again.collect()) == sorted(
+        (r.bid, r.entity_terms, True) for r in first.collect())
+    assert evidence.refresh_highlights(stale, chunks, ents, rel).filter("reused").isEmpty()
+
+
+def test_chunk_entities_are_nested_where_they_are_numbered(spark):
+    met = spark.createDataFrame([("d", "b", 1, "en", 0, 1, "beta"), ("d", "b", 1, "en", 0, 0, "alpha")],
+                                "doc_id string, bid string, ordinal int, type string, sent int, pos int, name string")
+    nested = entities.nest_entities(entities.first_mentions(met))
+    assert nested._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert [e.name for e in nested.first().entities] == ["alpha", "beta"]
+
+
 def test_pronouns_are_not_highlighted(spark):
     chunks = spark.createDataFrame([("d", 1, "b", "我看到刘备建立了蜀汉，诸葛亮在场。", 1)], schemas.CHUNKS)
     ents = spark.createDataFrame([("d", "b", 1, i, n, "x") for i, n in enumerate(["我", "刘备", "蜀汉", "诸葛亮", "甲"])], schemas.CHUNK_ENTITIES)
