@@ -98,7 +98,7 @@ def _updated(t: Tables) -> dict[str, DataFrame]:
     edited = F.concat(F.coalesce(F.concat("body", F.lit("\n")), F.lit("")), told, F.lit(" in "), F.col("doc_id").cast("string"))
     texts = t.documents.join(kept, "doc_id", "left").select(
         "doc_id", "lang", F.when(F.col("lang") == "fr", F.col("text")).otherwise(edited).alias("text"))
-    stored = {"documents": t.documents.select("doc_id", "lang", "text"), "chunks": t.chunks, "chunk_entities": t.chunk_entities, "relations": t.relations}
+    stored = {"documents": t.documents.select("doc_id", "lang", "text"), "chunks": t.chunks, "chunk_entities": t.dealt_entities, "relations": t.dealt_relations}
     none = t.documents.limit(0).select("doc_id", F.lit(1).alias("revision"), F.lit("").alias("operation"), F.to_timestamp(F.lit(STAMP)).alias("created_at"))
     return incremental.update_documents(stored, texts, t.gazetteer, none, F.to_timestamp(F.lit(STAMP)), max_tokens=256, min_tokens=96)
 
@@ -122,7 +122,7 @@ def update_versions(t: Tables) -> DataFrame:
     SELECT doc_id, count(*) AS n_relations FROM rel WHERE bid NOT IN (SELECT bid FROM gone) GROUP BY doc_id""")
 def applied_update(t: Tables) -> DataFrame:
     marked, _ = incremental.diff_chunks(t.chunks, _new_docs(t))
-    rest = incremental.apply_update({"relations": t.relations}, marked, {})["relations"]
+    rest = incremental.apply_update({"relations": t.dealt_relations}, marked, {})["relations"]
     return rest.groupBy("doc_id").agg(F.count("*").alias("n_relations"))
 
 
@@ -198,7 +198,7 @@ _EDITS = """
     FROM rel r JOIN lo USING (doc_id)
     UNION ALL SELECT doc_id, '__manual_graph_edits__', 'brand new node', 'renamed node', 0.9, 'manual' FROM lo""")
 def edited_relations(t: Tables) -> DataFrame:
-    _, rel, _ = editing.apply_mutations(t.labels, t.relations, _mutations(t, _picked(t)))
+    _, rel, _ = editing.apply_mutations(t.labels, t.dealt_relations, _mutations(t, _picked(t)))
     return rel.select("doc_id", "bid", "source", "target", "weight", "origin")
 
 
@@ -206,7 +206,7 @@ def edited_relations(t: Tables) -> DataFrame:
     SELECT DISTINCT graph_id AS doc_id, seq, reason AS reject_reason
     FROM edges, (VALUES (4, 'node_missing'), (5, 'weight_out_of_range')) AS x(seq, reason)""")
 def rejected_edits(t: Tables) -> DataFrame:
-    _, _, bad = editing.apply_mutations(t.labels, t.relations, _mutations(t, _picked(t)))
+    _, _, bad = editing.apply_mutations(t.labels, t.dealt_relations, _mutations(t, _picked(t)))
     return bad.select("doc_id", "seq", "reject_reason")
 
 
@@ -215,7 +215,7 @@ def rejected_edits(t: Tables) -> DataFrame:
     FROM edges, (VALUES (1, NULL), (2, 'endpoint_missing'), (3, NULL), (4, NULL), (5, 'weight_out_of_range')) AS x(seq, reason)""")
 def validated_edits(t: Tables) -> DataFrame:
     """All edits against the unedited state: the new node's edge has no start yet."""
-    return editing.validate_mutations(_mutations(t, _picked(t)), t.labels, t.relations).select(
+    return editing.validate_mutations(_mutations(t, _picked(t)), t.labels, t.dealt_relations).select(
         "doc_id", "seq", "reject_reason")
 
 
