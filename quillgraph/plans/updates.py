@@ -100,7 +100,7 @@ def _updated(t: Tables) -> dict[str, DataFrame]:
         "doc_id", "lang", F.when(F.col("lang") == "fr", F.col("text")).otherwise(edited).alias("text"))
     stored = {"documents": t.documents.select("doc_id", "lang", "text"), "chunks": t.chunks, "chunk_entities": t.dealt_entities, "relations": t.dealt_relations}
     none = t.documents.limit(0).select("doc_id", F.lit(1).alias("revision"), F.lit("").alias("operation"), F.to_timestamp(F.lit(STAMP)).alias("created_at"))
-    return incremental.update_documents(stored, texts, t.gazetteer, none, F.to_timestamp(F.lit(STAMP)), max_tokens=256, min_tokens=96)
+    return incremental.update_documents(stored, texts, t.names, none, F.to_timestamp(F.lit(STAMP)), max_tokens=256, min_tokens=96)
 
 
 @query("incremental_update", sql.using("edges", first=_CHANGED, given={"chunks": _UPDATED_CHUNKS}) + """

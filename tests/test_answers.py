@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from quillgraph import schemas
 from quillgraph.functions import text as tx
 from quillgraph.functions.containment import contains_join
-from quillgraph.operators import chunking, communities, entities, evidence, graph, incremental, progress, retrieval
+from quillgraph.operators import chunking, communities, entities, evidence, graph, incremental, progress, relations, retrieval
 
 
 # -- retrieval -----------------------------------------------------------------
@@ -337,3 +337,39 @@ def test_contains_join_in_parts(spark, most):
     right = spark.createDataFrame(names, "k int, name string, kind int")
     got = [(r.k, r.i, r.name, r.kind) for r in contains_join(left, right, ["k"], ["i"], "text", "name", most, most).collect()]
     assert sorted(got) == sorted((k, i, n, kind) for k, i, t in texts for j, n, kind in names if k is not None and k == j and n and n in t)
+
+
+def test_folded_texts_without_moved_characters_need_no_map():
+    """The short way and the map agree; a final sigma, a dotted capital I or doubled blanks take the map."""
+    for raw in ("Quiet  waters", " lead", "tail ", "\u03a3\u03a3 x\u03a3", "\u0130zmir", ""):
+        slow = evidence._Folded(raw)
+        assert (slow.at is None) == (raw == "")
+    for raw in ("Quiet Waters run\tDEEP", "\u00c4\u00df\u4e2d\u3000b", "one"):
+        quick, whole = evidence._Folded(raw), evidence._Folded(raw + "  \u0130")
+        assert quick.at is None and whole.text.startswith(quick.text)
+        assert [quick.range(i, 2) for i in range(len(raw) - 1)] == [whole.range(i, 2) for i in range(len(raw) - 1)]
+
+
+def test_lost_chunks_are_found_by_their_longest_sentence():
+    raw = "Opening words. The ferry leaves the northern pier at dawn. Short one."
+    blocks = ["Opening words.", "Gone! The ferry leaves the northern pier at dawn. More text", "tiny. bits."]
+    found = [(r["start"], r["end"]) for r in evidence._chunk_ranges(raw, blocks)]
+    assert found == [(0, 14), (15, 58), (None, None)]
+
+
+def test_sources_in_the_chunks_own_row_equal_the_joined_ones(spark):
+    """Highlights need no join by chunk; chunks without names or language stay, with nothing to mark."""
+    texts = ["Lanterns brighten harbours. Harbours brighten lanterns.", "nothing here", "brighten", ""]
+    chunks = spark.createDataFrame(
+        [("d", f"b{i}", i, None if i == 4 else "en", text) for i, text in enumerate([*texts, texts[0]])],
+        "doc_id string, bid string, ordinal int, lang string, text string")
+    names = spark.createDataFrame([("en", n) for n in ("lanterns", "brighten", "harbours")], "type string, name string")
+    met = entities.mentions(chunks, names)
+    rel = relations.unnest_relations(relations.nested_relations_baseline(chunks, met))
+    linked = relations.linked_chunks(chunks, entities.hold_names(names), whole=True)
+    own = evidence.signed_sources(relations.linked_sources(linked))
+    joined = evidence.highlight_sources(chunks, entities.first_mentions(met), rel)
+    rows = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
+    assert rows(own) == rows(joined) and len(rows(own)) == 5
+    stored = evidence.build_highlights(own)
+    assert {r.reused for r in evidence.refresh_sources(stored, own).collect()} == {True}
