@@ -9,6 +9,7 @@ from quillgraph.operators import editing, incremental, progress
 from quillgraph.plans import sql
 from quillgraph.plans.registry import query
 from quillgraph.plans.tables import Tables, stage_events
+from quillgraph.session import materialise
 from quillgraph.streaming import progress as live
 
 STAMP = "2024-01-01 00:00:00"
@@ -165,8 +166,9 @@ def resume_rejects(t: Tables) -> DataFrame:
 def _picked(t: Tables) -> DataFrame:
     """First and last edge of every document, the targets of its edits."""
     edge = F.struct("edge_id", "source", "target", "first_at")
-    return t.edges.groupBy(F.col("graph_id").alias("doc_id")).agg(
-        F.min_by(edge, "first_at").alias("lo"), F.max_by(edge, "first_at").alias("hi"))
+    # Two edges a document, read by every step of an edit: stored, so that the edges are worked out once.
+    return materialise(t.edges.groupBy(F.col("graph_id").alias("doc_id")).agg(
+        F.min_by(edge, "first_at").alias("lo"), F.max_by(edge, "first_at").alias("hi")))
 
 
 def _mutations(t: Tables, picked: DataFrame) -> DataFrame:
